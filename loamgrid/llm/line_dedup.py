@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +25,13 @@ def line_hashes(raw: bytes) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def cut_lines(raw: bytes, packed: list[bytes] | None, width: int) -> tuple[bytes, int, int]:
+def cut_lines(raw: bytes, at: np.ndarray | None, width: int) -> tuple[bytes, int, int]:
     """The text without the lines under marked windows, its lines with a word, and how many went."""
     lines = raw.split(b"\n")
     full = [k for k, line in enumerate(lines) if line.strip(_SPACE)]
-    if not packed:
+    if at is None:
         return raw, len(full), 0
-    mask = windows.covered(len(full), packed, width).tolist()
+    mask = windows.covered(len(full), at, width).tolist()
     gone = {k for k, out in zip(full, mask, strict=True) if out}
     return b"\n".join(line for k, line in enumerate(lines) if k not in gone), len(full), len(gone)
 
@@ -56,18 +53,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs`` are not read.
     """
     rows = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    marks = windows.repeated(rows, line_hashes, width, by_document=False)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-
-        def out() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, packed, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    text, n, gone = cut_lines(expand.decompress(packed), found, width)
-                    yield None if doc_id == _NO_ID else doc_id, n, gone, text
 
-        for held in common.batches(out(), pa.schema([*list(_OUT)[:3], ("kept_text", pa.binary())]), 256):
-            yield pa.RecordBatch.from_arrays([*held.columns[:3], held.column(3).cast(pa.string())], schema=_OUT)
+    def cut(doc_id: int, raw: bytes, at: np.ndarray | None) -> tuple:
+        text, n, gone = cut_lines(raw, at, width)
+        return None if doc_id == _NO_ID else doc_id, n, gone, text.decode()
 
-    return windows.with_marks(rows, marks).mapInArrow(cut, _OUT_DDL)
+    return windows.without_repeats(rows, line_hashes, width, False, cut, _OUT, _OUT_DDL)

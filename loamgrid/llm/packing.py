@@ -132,13 +132,12 @@ def pack_sequences(
         encoder = _encoder(*key)
 
         def out() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encoder.ids(text), separator], "<u4")
-                    raw = ids.tobytes()
-                    crc = zlib.crc32(raw)
-                    for piece, (start, length) in enumerate(cuts(len(ids), most_tokens)):
-                        yield doc_id, crc, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])
+            for doc_id, text in common.texts(batches):
+                ids = np.array([*encoder.ids(text.decode()), separator], "<u4")
+                raw = ids.tobytes()
+                crc = zlib.crc32(raw)
+                for piece, (start, length) in enumerate(cuts(len(ids), most_tokens)):
+                    yield doc_id, crc, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])
 
         return common.batches(out(), _PIECES)
 

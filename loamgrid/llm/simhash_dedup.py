@@ -119,9 +119,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(x) for x in common.binary_rows(batch, 1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], schema=schema)
+        signed = lambda value: value - (value >> 63 << 64)
+        return common.batches(((doc_id, signed(fingerprint(raw))) for doc_id, raw in common.texts(batches)), schema)
 
     return common.id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, fp long")
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,23 +46,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows in a bucket one differs unnoticed about once in 10^10.
     """
     rows = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    marks = windows.repeated(rows, word_hashes, width, by_document=True)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-
-        def out() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, packed, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    words = [w for piece in common.slices(expand.decompress(packed), SPACE) for w in piece.split()]
-                    n, gone, spans = len(words), 0, []
-                    if found:
-                        mask = windows.covered(n, found, width)
-                        gone, spans = int(mask.sum()), windows.intervals(mask)
-                        words = [w for w, out_ in zip(words, mask.tolist(), strict=True) if not out_]
-                    yield None if doc_id == _NO_ID else doc_id, n, gone, [{"start": a, "end": b} for a, b in spans], b" ".join(words)
 
-        for held in common.batches(out(), pa.schema([*list(_OUT)[:4], ("kept_text", pa.binary())]), 256):
-            yield pa.RecordBatch.from_arrays([*held.columns[:4], held.column(4).cast(pa.string())], schema=_OUT)
+    def cut(doc_id: int, raw: bytes, at: np.ndarray | None) -> tuple:
+        words = [w for piece in common.slices(raw, SPACE) for w in piece.split()]
+        n, gone, spans = len(words), 0, []
+        if at is not None:
+            mask = windows.covered(n, at, width)
+            gone, spans = int(mask.sum()), windows.intervals(mask)
+            words = [w for w, out in zip(words, mask.tolist(), strict=True) if not out]
+        return None if doc_id == _NO_ID else doc_id, n, gone, [{"start": a, "end": b} for a, b in spans], b" ".join(words).decode()
 
-    return windows.with_marks(rows, marks).mapInArrow(cut, _OUT_DDL)
+    return windows.without_repeats(rows, word_hashes, width, True, cut, _OUT, _OUT_DDL)

@@ -6,7 +6,7 @@ hashes, rolled by one prefix sum.  Two independent polynomials are kept: one
 picks the bucket, 56 bits of the other identify the window inside its bucket.
 
 Windows are counted in two steps.  A worker first counts them in a block of
-about a million: of the copies inside a block only those of the smallest
+half a million: of the copies inside a block only those of the smallest
 document (or the first copy) go on, so a window sends one document per block
 however often it occurs.  The second step meets all blocks' entries of a bucket.
 The number of buckets grows with the input, so that each holds a bounded number
@@ -19,21 +19,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_WINDOWS = 1 << 20
-#: Bytes of stored input for each bucket: some four million windows of words.
-BUCKET_BYTES = 14 << 20
+BLOCK_WINDOWS = 1 << 19
+#: Bytes of the plan's size estimate for each bucket: about one and a half million windows of words.
+BUCKET_BYTES = 2 << 20
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 _SENT = pa.schema([("bucket", pa.int64()), ("doc_id", pa.binary()), ("crc", pa.binary()), ("count", pa.binary()), ("pos", pa.binary()), ("hash", pa.binary()), ("marked", pa.bool_())])
 _SENT_DDL = "bucket long, doc_id binary, crc binary, count binary, pos binary, hash binary, marked boolean"
-_MARKS = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("pos", pa.binary())])
-_MARKS_DDL = "doc_id long, crc int, pos binary"
+_MARKS = pa.schema([("part", pa.int64()), ("doc_id", pa.binary()), ("crc", pa.binary()), ("count", pa.binary()), ("pos", pa.binary())])
+_MARKS_DDL = "part long, doc_id binary, crc binary, count binary, pos binary"
+#: Bytes of the plan's size estimate for each part of the documents.
+PART_BYTES = 4 << 20
 
 
 def rolling(units: np.ndarray, width: int, lane: int) -> np.ndarray:
@@ -80,8 +82,8 @@ class _Block:
         docs = sorted(self.docs, key=lambda d: (d[0], d[1]))
         lengths = np.array([len(d[2]) for d in docs])
         place, check = np.concatenate([d[2] for d in docs]), np.concatenate([d[3] for d in docs])
-        which = np.repeat(np.arange(len(docs)), lengths)
-        pos = np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        which = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+        pos = (np.arange(len(which)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         ids, crcs = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
         self.docs, self.size = [], 0
         check &= np.uint64((1 << 56) - 1)
@@ -107,46 +109,52 @@ class _Block:
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(take) else []
         for a, b in zip(starts, [*starts[1:], len(take)], strict=True) if len(take) else ():
             part = take[a:b]
-            docs, at = which[part], pos[part]
-            begins = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-            counts = np.diff(np.append(begins, len(docs)))
-            steps = np.diff(at, prepend=0)
-            steps[begins] = at[begins]
-            there = _ordered_ids(ids[docs[begins]])
-            yield (
-                int(bucket[a]), common.pack(np.concatenate([there[:1], np.diff(there)])), common.pack(crcs[docs[begins]], 2), common.pack(counts), common.pack(steps),
-                b"" if place is None else common.pack(check[part], 7), place is None,
-            )
+            docs = which[part]
+            yield int(bucket[a]), *_encode(_ordered_ids(ids[docs]), crcs[docs], pos[part].astype(np.int64)), b"" if place is None else common.pack(check[part], 7), place is None
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document number, crc, count and position of a sent row's entries."""
     ids = np.cumsum(common.unpack(row["doc_id"]), dtype=np.uint64)
-    crcs, counts = common.unpack(row["crc"]).astype(np.int64), common.unpack(row["count"]).astype(np.int64)
+    crcs, counts = common.unpack(row["crc"]).astype(np.uint16), common.unpack(row["count"]).astype(np.int64)
     total = np.cumsum(common.unpack(row["pos"]).astype(np.int64))
     begins = np.cumsum(counts) - counts
     before = np.concatenate([[0], total])[begins]
-    return ids, crcs, counts, total - np.repeat(before, counts)
+    return ids, crcs, counts, (total - np.repeat(before, counts)).astype(np.int32)
 
 
-def _marks(ids: np.ndarray, crcs: np.ndarray, counts: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-    """Rows of marks from entries grouped by document."""
-    if not len(ids):
-        return
-    signed = (ids ^ np.uint64(1 << 63)).view(np.int64)
-    ends = np.cumsum(counts)
-    for k, (doc, crc) in enumerate(zip(signed.tolist(), crcs.tolist(), strict=True)):
-        part = at[ends[k] - counts[k] : ends[k]]
-        yield doc, crc, common.pack(np.diff(part, prepend=0) if (np.diff(part) >= 0).all() else np.diff(np.sort(part), prepend=0))
+def part_of(ids: np.ndarray, crcs: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part to which a document is dealt; ``ids`` as unsigned ordered numbers."""
+    return (common.mix(ids + crcs.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def _encode(ids: np.ndarray, crcs: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Entries ordered by id, crc and position, as the columns doc_id, crc, count and pos."""
+    begins = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])]))
+    steps = np.diff(at, prepend=0)
+    steps[begins] = at[begins]
+    there = ids[begins]
+    return common.pack(np.concatenate([there[:1], np.diff(there)])), common.pack(crcs[begins], 2), common.pack(np.diff(np.append(begins, len(ids)))), common.pack(steps)
+
 
+def _marks(ids: np.ndarray, crcs: np.ndarray, at: np.ndarray, n_parts: int) -> Iterator[tuple]:
+    """Rows of marks, one for each part of the documents."""
+    part = part_of(ids, crcs, n_parts)
+    order = np.lexsort((at, crcs, ids, part))
+    part, ids, crcs, at = part[order], ids[order], crcs[order], at[order]
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    for a, b in zip(begins, [*begins[1:], len(part)], strict=True) if len(part) else ():
+        yield int(part[a]), *_encode(ids[a:b], crcs[a:b], at[a:b])
 
-def _count(group: pa.Table, by_document: bool) -> Iterator[tuple]:
+
+def _count(group: pa.Table, by_document: bool, n_parts: int) -> Iterator[tuple]:
     """Meet the entries of a bucket: mark those whose window occurs earlier."""
+    pa.set_memory_pool(pa.system_memory_pool())
     found = []
-    for row in group.to_pylist():
+    for row in (r for batch in group.to_batches(8) for r in batch.to_pylist()):
         ids, crcs, counts, at = _read(row)
         if row["marked"]:
-            yield from _marks(ids, crcs, counts, at)
+            yield from _marks(np.repeat(ids, counts), np.repeat(crcs, counts), at, n_parts)
         else:
             found.append((np.repeat(ids, counts), np.repeat(crcs, counts), at, common.unpack(row["hash"])))
     if not found:
@@ -155,6 +163,7 @@ def _count(group: pa.Table, by_document: bool) -> Iterator[tuple]:
     del found
     order = np.argsort(hashes, kind="stable")
     s = hashes[order]
+    del hashes
     same = s[1:] == s[:-1]
     several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     order, s = order[several], s[several]  # most windows occur once
@@ -169,51 +178,42 @@ def _count(group: pa.Table, by_document: bool) -> Iterator[tuple]:
         later = ids != ids[begin]
     else:
         later = (ids != ids[begin]) | (at != at[begin]) | (crcs != crcs[begin])
-    ids, crcs, at = ids[later], crcs[later], at[later]
-    order = np.lexsort((at, crcs, ids))
-    ids, crcs, at = ids[order], crcs[order], at[order]
-    if len(ids):
-        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])]))
-        yield from _marks(ids[new], crcs[new], np.diff(np.append(new, len(ids))), at)
+    yield from _marks(ids[later], crcs[later], at[later], n_parts)
 
 
-def repeated(docs: DataFrame, units_of: Callable[[bytes], np.ndarray], width: int, by_document: bool, n_buckets: int = 0) -> DataFrame:
-    """Windows that occur earlier, as rows (doc_id, crc, pos).
+def repeated(docs: DataFrame, units_of: Callable[[bytes], np.ndarray], width: int, by_document: bool, n_parts: int) -> DataFrame:
+    """Windows that occur earlier, as packed rows for each of ``n_parts`` parts of the documents.
 
     ``docs`` has the columns doc_id and text.  With ``by_document`` a window is
     marked if it also starts in a document with a smaller id; otherwise if any
     copy of it comes before, by document id and then position.  ``crc`` is 16
-    bits of the text, which tells apart rows that share an id; ``pos`` packs the
-    marked windows' positions as steps.  A document may have several rows.
+    bits of the text, which tells apart rows that share an id.
     """
-    n_buckets = n_buckets or common.buckets_for(docs, BUCKET_BYTES)
+    n_buckets = common.buckets_for(docs, BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(width, n_buckets, by_document)
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, raw in zip(batch.column(0).to_pylist(), common.binary_rows(batch, 1), strict=True):
-                    block.add(doc_id, common.crc16(raw), units_of(raw))
-                    if block.size >= BLOCK_WINDOWS:
-                        yield from block.flush()
+            for doc_id, raw in common.texts(batches):
+                block.add(doc_id, common.crc16(raw), units_of(raw))
+                if block.size >= BLOCK_WINDOWS:
+                    yield from block.flush()
             yield from block.flush()
 
         yield from common.batches(rows(), _SENT, 64)
 
     def meet(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(common.batches(_count(group, by_document), _MARKS)), _MARKS)
+        return pa.Table.from_batches(list(common.batches(_count(group, by_document, n_parts), _MARKS)), _MARKS)
 
     return docs.mapInArrow(send, _SENT_DDL).groupBy("bucket").applyInArrow(meet, _MARKS_DDL)
 
 
-def covered(n_units: int, packed: list[bytes], width: int) -> np.ndarray:
-    """Which of a text's units lie in a marked window."""
+def covered(n_units: int, at: np.ndarray, width: int) -> np.ndarray:
+    """Which of a text's units lie in a window that starts at one of ``at``."""
     change = np.zeros(n_units + 1, np.int64)
-    for raw in packed:
-        at = np.cumsum(common.unpack(raw).astype(np.int64))
-        np.add.at(change, at, 1)
-        np.add.at(change, np.minimum(at + width, n_units), -1)
+    np.add.at(change, at, 1)
+    np.add.at(change, np.minimum(at + width, n_units), -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -223,20 +223,47 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Each document row with its list of packed marks; texts travel compressed."""
-    import zstandard
+def without_repeats(
+    docs: DataFrame, units_of: Callable[[bytes], np.ndarray], width: int, by_document: bool, cut: Callable[[int, bytes, np.ndarray | None], tuple], schema: pa.Schema, ddl: str
+) -> DataFrame:
+    """Apply ``cut`` to every document row (columns doc_id and text) with its marked windows' positions.
 
-    schema = pa.schema([("doc_id", pa.int64()), ("crc", pa.int32()), ("packed", pa.binary())])
+    Documents and marks are dealt to the same parts by a hash of id and text;
+    texts travel compressed.
+    """
+    n_parts = common.buckets_for(docs, PART_BYTES, 64)
+    marks = repeated(docs, units_of, width, by_document, n_parts)
+    small = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int32()), ("packed", pa.binary())])
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            raw = common.binary_rows(batch, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([common.crc16(x) for x in raw], pa.int32()), pa.array([squeeze.compress(x) for x in raw], pa.binary())], schema=schema
-            )
-
-    small = docs.mapInArrow(shrink, "doc_id long, crc int, packed binary")
-    listed = marks.groupBy(F.col("doc_id").alias("m_id"), F.col("crc").alias("m_crc")).agg(F.collect_list("pos").alias("marks"))
-    return small.join(listed, (F.col("doc_id") == F.col("m_id")) & (F.col("crc") == F.col("m_crc")), "left").select("doc_id", "packed", "marks")
+
+        def rows() -> Iterator[tuple]:
+            for doc_id, raw in common.texts(batches):
+                crc = common.crc16(raw)
+                yield int(part_of(_ordered_ids(np.array([doc_id])), np.array([crc]), n_parts)[0]), doc_id, crc, squeeze.compress(raw)
+
+        return common.batches(rows(), small, 512)
+
+    def meet(own: pa.Table, marked: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        expand, found = zstandard.ZstdDecompressor(), {}
+        entries = [(np.repeat(i, n), np.repeat(c, n), at) for i, c, n, at in map(_read, marked.to_pylist())]
+        if entries:
+            ids, crcs, at = (np.concatenate(x) for x in zip(*entries, strict=True))
+            order = np.lexsort((at, crcs, ids))
+            ids, crcs, at = ids[order], crcs[order], at[order]
+            begins = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (crcs[1:] != crcs[:-1])]))
+            signed = (ids[begins] ^ np.uint64(1 << 63)).view(np.int64).tolist()
+            ends = [*begins[1:].tolist(), len(at)]
+            found = {key: at[a:b] for *key_, a, b in zip(signed, crcs[begins].tolist(), begins.tolist(), ends, strict=True) for key in (tuple(key_),)}
+
+        def rows() -> Iterator[tuple]:
+            for batch in own.to_batches(64):
+                for _, doc_id, crc, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    yield cut(doc_id, expand.decompress(packed), found.get((doc_id, crc)))
+
+        return pa.Table.from_batches(list(common.batches(rows(), schema, 256)), schema)
+
+    held = docs.mapInArrow(shrink, "part long, doc_id long, crc int, packed binary")
+    return held.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(meet, ddl)
