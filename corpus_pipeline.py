@@ -1,13 +1,65 @@
-"""The corpus pipeline: five operators, one after another."""
+"""The corpus pipeline: quality, line dedup, near-dedup, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+keep the columns of documents.  A row without an id passes the near-duplicate
+stage or the mix if any row without an id does.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamgrid.llm import common, line_dedup, mixing, packing, quality_classifier, queries, simhash_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids, null included."""
+    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good."""
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.keep_good(docs.select(*COLUMNS), model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of three-line windows; every document stays, with its new length."""
+    out = line_dedup.line_dedup(docs, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; of identical rows one."""
+    groups = simhash_dedup.simhash_dedup(docs)
+    kept = _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return kept.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of the tokens, dealt by the target weights; no document twice."""
+    chosen = mixing.mix_sources(docs, queries.domain_of(F.col("source")), queries.MIX_WEIGHTS, percent=90, most_epochs=1)
+    return _only(docs, chosen.filter("copies > 0")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each at its place in a sequence."""
+    return packing.pack_sequences(docs, *queries.tokenizer_files())
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("source mixing", mix), ("best-fit packing", pack)]
+#: The classifier and the tokenizer have no SQL form; the stages are tested by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.written(docs)
     return docs
