@@ -57,13 +57,14 @@ def buckets_for(frame: DataFrame, bytes_each: int, least: int = 32, most: int =
     return max(least, min(most, -(-size // bytes_each)))
 
 
-def texts(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[int | None, bytes]]:
-    """(id, text as UTF-8) of batches with these two columns, a few rows in memory at a time."""
+def texts(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[tuple]:
+    """(id, text as UTF-8, other columns...) of batches, a few rows in memory at a time."""
     pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back; an executor's workers share little
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             part = batch.slice(start, rows)
-            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True)
+            columns = [part.column(1).cast(pa.binary()) if k == 1 else part.column(k) for k in range(part.num_columns)]
+            yield from zip(*(c.to_pylist() for c in columns), strict=True)
 
 
 def crc16(raw: bytes) -> int:

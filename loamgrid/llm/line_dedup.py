@@ -36,10 +36,11 @@ def cut_lines(raw: bytes, at: np.ndarray | None, width: int) -> tuple[bytes, int
     return b"\n".join(line for k, line in enumerate(lines) if k not in gone), len(full), len(gone)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove the lines under every window of ``width`` consecutive lines that occurs earlier.
 
-    Returns (doc_id, n_lines, n_removed, kept_text), one row per input row.
+    Returns (doc_id, n_lines, n_removed, kept_text) and the columns named in
+    ``carry`` (strings, numbers or booleans), one row per input row.
     Windows run over the lines with a character other than space and ASCII 9 to
     13, compared without such characters at their ends; blank lines lie in no
     window and stay.  The first occurrence of a window, by document id and then
@@ -52,10 +53,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     different texts come in an arbitrary but fixed order.  Other columns of
     ``docs`` are not read.
     """
-    rows = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    rest = F.to_json(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))) if carry else F.lit("")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 
     def cut(doc_id: int, raw: bytes, at: np.ndarray | None) -> tuple:
         text, n, gone = cut_lines(raw, at, width)
         return None if doc_id == _NO_ID else doc_id, n, gone, text.decode()
 
-    return windows.without_repeats(rows, line_hashes, width, False, cut, _OUT, _OUT_DDL)
+    out = windows.without_repeats(rows, line_hashes, width, False, cut, _OUT, _OUT_DDL)
+    if not carry:
+        return out.drop("rest")
+    types = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    held = F.from_json("rest", types)
+    return out.select("doc_id", "n_lines", "n_removed", "kept_text", *(held[f"c{k}"].alias(c) for k, c in enumerate(carry)))

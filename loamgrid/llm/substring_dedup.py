@@ -56,4 +56,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             words = [w for w, out in zip(words, mask.tolist(), strict=True) if not out]
         return None if doc_id == _NO_ID else doc_id, n, gone, [{"start": a, "end": b} for a, b in spans], b" ".join(words).decode()
 
-    return windows.without_repeats(rows, word_hashes, width, True, cut, _OUT, _OUT_DDL)
+    return windows.without_repeats(rows.withColumn("rest", F.lit("")), word_hashes, width, True, cut, _OUT, _OUT_DDL).drop("rest")

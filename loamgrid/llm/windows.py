@@ -226,22 +226,24 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
 def without_repeats(
     docs: DataFrame, units_of: Callable[[bytes], np.ndarray], width: int, by_document: bool, cut: Callable[[int, bytes, np.ndarray | None], tuple], schema: pa.Schema, ddl: str
 ) -> DataFrame:
-    """Apply ``cut`` to every document row (columns doc_id and text) with its marked windows' positions.
+    """Apply ``cut`` to every document row with its marked windows' positions.
 
-    Documents and marks are dealt to the same parts by a hash of id and text;
-    texts travel compressed.
+    ``docs`` has the columns doc_id, text and rest, a string that is carried to
+    the end of the row that ``cut`` makes.  Documents and marks are dealt to the
+    same parts by a hash of id and text; texts travel compressed.
     """
     n_parts = common.buckets_for(docs, PART_BYTES, 64)
-    marks = repeated(docs, units_of, width, by_document, n_parts)
-    small = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int32()), ("packed", pa.binary())])
+    marks = repeated(docs.select("doc_id", "text"), units_of, width, by_document, n_parts)
+    small = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int32()), ("packed", pa.binary()), ("rest", pa.string())])
+    schema, ddl = schema.append(pa.field("rest", pa.string())), f"{ddl}, rest string"
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def rows() -> Iterator[tuple]:
-            for doc_id, raw in common.texts(batches):
+            for doc_id, raw, rest in common.texts(batches):
                 crc = common.crc16(raw)
-                yield int(part_of(_ordered_ids(np.array([doc_id])), np.array([crc]), n_parts)[0]), doc_id, crc, squeeze.compress(raw)
+                yield int(part_of(_ordered_ids(np.array([doc_id])), np.array([crc]), n_parts)[0]), doc_id, crc, squeeze.compress(raw), rest
 
         return common.batches(rows(), small, 512)
 
@@ -260,10 +262,10 @@ def without_repeats(
 
         def rows() -> Iterator[tuple]:
             for batch in own.to_batches(64):
-                for _, doc_id, crc, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    yield cut(doc_id, expand.decompress(packed), found.get((doc_id, crc)))
+                for _, doc_id, crc, packed, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield *cut(doc_id, expand.decompress(packed), found.get((doc_id, crc))), rest
 
         return pa.Table.from_batches(list(common.batches(rows(), schema, 256)), schema)
 
-    held = docs.mapInArrow(shrink, "part long, doc_id long, crc int, packed binary")
+    held = docs.mapInArrow(shrink, "part long, doc_id long, crc int, packed binary, rest string")
     return held.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(meet, ddl)
