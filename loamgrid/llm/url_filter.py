@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,22 +53,32 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def rule_index(rules: list[Rule], counts: Counter | None = None) -> list[tuple]:
-    """(token, rule) by each rule's rarest literal token; '' for rules without one.
-
-    ``counts`` tells how often tokens occur in the URLs; without it, tokens that
-    many rules share and then short ones count as common.
-    """
-    shared = Counter(t for r in rules for t in r.literals)
-    rarity = lambda t: (counts.get(t, 0) if counts else 0, shared[t], -len(t), t)
+def rule_index(rules: list[Rule], counts: Mapping[str, int]) -> list[tuple]:
+    """(token, rule) by each rule's literal token that the fewest URLs hold; '' for rules without one."""
+    rarity = lambda t: (counts.get(t, 0), -len(t), t)
     return [(min(r.literals, key=rarity) if r.literals else "", r.name, r.verdict, r.pattern, r.scope, r.rank) for r in rules]
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", counts: Counter | None = None) -> DataFrame:
+def _tokens(url: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+")), lambda t: t != "")
+
+
+def literal_counts(urls: DataFrame, url: Column, rules: list[Rule]) -> dict[str, int]:
+    """In how many of all URLs each literal token of the rules occurs: a number for each literal."""
+    known = sorted({t for r in rules for t in r.literals})
+    literals = urls.sparkSession.createDataFrame([(t,) for t in known], "token string")
+    if len(known) <= BROADCAST_RULES:
+        literals = F.broadcast(literals)
+    found = urls.select(F.explode(_tokens(url)).alias("token")).join(literals, "token", "left_semi").groupBy("token").count()
+    return {r["token"]: r["count"] for r in found.collect()}
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Judge every URL: (page_id, host, path, rule, verdict), one row per input row.
 
-    A URL's distinct lower-cased alphanumeric tokens fetch the rules indexed
-    under them, and only those run their regular expressions.  ``rule`` names the
+    The rules' literal tokens are counted over all URLs and every rule is indexed
+    under its rarest.  A URL's distinct lower-cased alphanumeric tokens fetch the
+    rules indexed under them, and only those run their regular expressions.  ``rule`` names the
     best rule that fits (null without one); ``verdict`` is that rule's, else
     ``default``.  A null URL or one without ``://`` has an empty host and path;
     only rules on the whole URL can fit it, and none fits a null.  Distinct URLs
@@ -76,13 +86,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     are kept.  Other columns of ``pages`` are not read.
     """
     spark = pages.sparkSession
+    counts = literal_counts(pages, F.col(url_col).cast("string"), rules)
     index = spark.createDataFrame(rule_index(rules, counts), "token string, name string, verdict string, pattern string, scope string, rank int")
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__u"))
     host, path = url_parts(F.col("__u"))
     urls = rows.select("__u").filter("__u is not null").distinct().select("__u", host.alias("host"), path.alias("path"))
-    tokens = F.array_append(F.filter(F.array_distinct(F.split(F.lower("__u"), "[^a-z0-9]+")), lambda t: t != ""), F.lit(""))
+    tokens = F.array_append(_tokens(F.col("__u")), F.lit(""))
     found = urls.select("__u", F.concat("host", "path").alias("site"), F.explode(tokens).alias("token")).join(index, "token")
     found = found.filter(F.expr("regexp_like(CASE WHEN scope = 'site' THEN site ELSE __u END, pattern)"))
     best = found.groupBy("__u").agg(F.min_by(F.struct("name", "verdict"), F.struct((-F.col("rank")).alias("rank"), "name")).alias("best"))
