@@ -145,8 +145,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+#: Rows of text that one Arrow batch may hold on its way to a worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: ten thousand long texts would not fit beside a small heap."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def id_and_text(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under its own names; a null text is empty."""
+    small_batches(frame.sparkSession)
     return frame.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )

@@ -53,6 +53,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     different texts come in an arbitrary but fixed order.  Other columns of
     ``docs`` are not read.
     """
+    common.small_batches(docs.sparkSession)
     rest = F.to_json(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))) if carry else F.lit("")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 

@@ -184,4 +184,5 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", thre
                 x = np.array([features(raw or b"") for raw in part.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, N_FEATURES)
                 yield part.filter(pa.array((np.full(len(x), 0.5) if model is None else model.score(x)) >= threshold))
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)
