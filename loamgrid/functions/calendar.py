@@ -141,7 +141,7 @@ def parse_epoch(text: Column) -> Column:
 
 def parse_datetime(text: Column) -> Column:
     """A timestamp from date, optional time and optional zone offset (Z, +HH, +HHMM, +HH:MM)."""
-    shape = r"^\s*(\S+?)(?:[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?\s*(Z|[+-]\d{2}(?::?\d{2})?)?\s*$"
+    shape = r"^\s*(\S+?)(?:[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\s*(Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
     day, time, zone = (F.regexp_extract(text, shape, k) for k in (1, 2, 3))
     hms = F.split(time, ":")
     seconds = F.when(time == "", 0).otherwise(F.element_at(hms, 1).try_cast("int") * 3600 + F.try_element_at(hms, F.lit(2)).try_cast("int") * 60 + F.coalesce(F.try_element_at(hms, F.lit(3)).try_cast("decimal(9,6)"), F.lit(0)))

@@ -43,10 +43,8 @@ def distinct_and_top(frame: DataFrame, columns: Iterable[str] | None = None) ->
     """
     counts = value_counts(frame, columns)
     some = F.col("value").isNotNull()
-    best = F.max_by(F.col("value"), F.when(some, F.col("n")))
-    # the smallest of the most frequent: compare counts first, then values from the end
+    # the smallest of the most frequent
     top = F.min_by(F.when(some, F.struct("value", "n")), F.when(some, F.struct((-F.col("n")).alias("n"), "value")))
-    del best
     out = counts.groupBy("field").agg(
         F.sum(F.when(some, F.col("n")).otherwise(0)).alias("non_null"), F.sum(F.when(~some, F.col("n")).otherwise(0)).alias("nulls"), F.count_if(some).alias("distinct"), top.alias("t"),
     )
@@ -89,9 +87,9 @@ def summary(frame: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
 
 
 def number_text(value: Column) -> Column:
-    """A whole number bare, any other with four significant digits."""
-    digits = F.lit(3) - F.floor(F.log10(F.abs(value))).cast("int")
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.round(value, digits).cast("string"))
+    """A whole number bare, any other with four significant digits and no zeros at its end."""
+    short = F.regexp_replace(F.format_string("%.4g", value.cast("double")), r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.regexp_replace(short, r"\.(e|$)", "$1"))
 
 
 def clip(text: Column, most: int = 28) -> Column:

@@ -83,7 +83,10 @@ def fields_of(frame: DataFrame, renames: dict[str, str] | None = None, raw: bool
         raise DataError(f"No such column: {', '.join(sorted(left))}." + _near(sorted(left)[0], [*frame.columns, *names]))
     if len(set(final)) < len(final):
         raise DataError("Two columns would have one name.")
-    counts = frame.agg(F.count("*").alias("n"), *(F.count(f"`{c}`").alias(f"c{k}") for k, c in enumerate(frame.columns))).first()
+    # numbers that are not finite are written as NULL
+    finite = lambda c: F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), c)
+    counted = [finite(F.col(f"`{c}`")) if kinds[c] == "float" else F.col(f"`{c}`") for c in frame.columns]
+    counts = frame.agg(F.count("*").alias("n"), *(F.count(c).alias(f"c{k}") for k, c in enumerate(counted))).first()
     wide = {r["field"] for r in profile.wide_columns(frame).filter("wide").collect()} if "int" in kinds.values() else set()
     return [Field(n, s, "null" if counts[k + 1] == 0 else kinds[s], counts[k + 1] < counts[0], s in wide) for k, (s, n) in enumerate(zip(frame.columns, final, strict=True))]
 
