@@ -21,6 +21,8 @@ NULL_WORDS = ("", "null", "none", "nan", "n/a", "na")
 
 _INT = r"(?U)^[+-]?\d+\z"
 _FLOAT = r"(?U)^[+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?\z"
+#: How a number, a date or a time must begin: most text is told apart by this alone.
+_MAYBE = r"(?U)^[+-]?\.?\d"
 _ZERO_FIRST = r"^[+-]*0(?!\.)."
 _DATE = r"(?U)^\d{4}-\d{2}-\d{2}\z"
 _DATETIME = r"(?U)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?\z"
@@ -86,6 +88,7 @@ def cell_bit(text: Column) -> Column:
     zero = value.rlike(_ZERO_FIRST)
     return (
         F.when(text.isNull() | word.isin(*NULL_WORDS), BIT["null"]).when(word.isin(*TRUE_WORDS, *FALSE_WORDS), BIT["bool"])
+        .when(~value.rlike(_MAYBE), BIT["str"])
         .when(value.rlike(_INT) & ~zero, BIT["int"]).when(value.rlike(_FLOAT) & ~zero, BIT["float"])
         .when(value.rlike(_DATE) & ascii_digits(value).try_cast("date").isNotNull(), BIT["date"]).when(value.rlike(_DATETIME) & _moment(value).isNotNull(), BIT["datetime"])
         .otherwise(BIT["str"])

@@ -308,8 +308,8 @@ _RE2 = {t: text.PATTERNS[t].replace("'", "''") for t in text.PATTERNS}
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tag, CAST(coalesce(sum(len(regexp_extract_all(text, '{_RE2[t]}'))), 0) AS BIGINT) AS n, CAST(count(*) FILTER (regexp_matches(text, '{_RE2[t]}')) AS BIGINT) AS docs FROM documents" for t in _TAGS))
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    one = docs.agg(*(F.struct(F.lit(t).alias("tag"), F.coalesce(F.sum(text.count_matches(F.col("text"), text.search_pattern(tags=[t]))), F.lit(0)).alias("n"), F.count_if(text.count_matches(F.col("text"), text.search_pattern(tags=[t])) > 0).alias("docs")).alias(t) for t in _TAGS))
+    counts = table(spark, sf_dir, "documents").select(*(text.count_matches(F.col("text"), text.search_pattern(tags=[t])).alias(t) for t in _TAGS))
+    one = counts.agg(*(F.struct(F.lit(t).alias("tag"), F.coalesce(F.sum(t), F.lit(0)).alias("n"), F.count_if(F.col(t) > 0).alias("docs")).alias(t) for t in _TAGS))
     return one.select(F.explode(F.array(*_TAGS)).alias("r")).select("r.*")
 
 
