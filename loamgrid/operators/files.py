@@ -20,10 +20,14 @@ def duplicate_groups(docs: DataFrame, id_col: str, content: Column) -> DataFrame
 
 
 def duplicate_victims(docs: DataFrame, id_col: str, content: Column) -> DataFrame:
-    """(id, sha256, keep) of every copy but the first: groups are aggregated and joined back, so a large one never meets in a task."""
+    """(id, sha256, keep) of every copy but the first.
+
+    Groups are aggregated and shuffled anew for the join, whose sides are then
+    both plain exchanges: the rows of a large group may be split among tasks.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(content.cast("binary"), 256).alias("sha256")).filter("sha256 IS NOT NULL")
-    groups = rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("id").alias("keep")).filter("n > 1").select("sha256", "keep")
-    return rows.join(groups, "sha256").filter("id <> keep").select("id", "sha256", "keep")
+    groups = rows.groupBy("sha256").agg(F.count("*").alias("n"), F.min("id").alias("keep")).filter("n > 1").select(F.concat("sha256", F.lit("")).alias("group"), "keep")
+    return rows.join(groups, F.col("sha256") == F.col("group")).filter("id <> keep").select("id", "sha256", "keep")
 
 
 def total_size(docs: DataFrame, content: Column) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.functions import calendar, expression, intervals, lattice, text, urls
-from loamgrid.operators import files, profile, sql_sink, structure, time_entries
+from loamgrid.functions import calendar, expression, intervals, lattice, paths, text, urls
+from loamgrid.operators import files, processes, profile, sql_sink, structure, time_entries
 from loamgrid.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -477,8 +477,33 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS sent, CAST(count(value) AS BIGINT) AS received, round(100.0 * (count(*) - count(value)) / count(*), 4) AS loss, round(min(value), 6) AS low, round(avg(value), 6) AS mean, round(max(value), 6) AS high FROM events GROUP BY 1")
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loss = 100 * (F.count("*") - F.count("value")) / F.count("*")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("sent"), F.count("value").alias("received"), F.round(loss, 4).alias("loss"), F.round(F.min("value"), 6).alias("low"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("high"))
+    out = processes.latency(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return out.select("event_type", "sent", "received", *(F.round(c, 4 if c == "loss" else 6).alias(c) for c in ("loss", "low", "mean", "high")))
+
+
+@query("SELECT p_partkey, p_brand || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS unique_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)")
+def name_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.with_suffixes(table(spark, sf_dir, "part"), "p_brand", [F.col("p_partkey")]).select("p_partkey", "unique_name")
+
+
+@query("SELECT o_orderkey AS pid, o_totalprice AS rss FROM orders WHERE contains(lower(o_orderpriority), 'high') ORDER BY rss DESC, pid LIMIT 15")
+def process_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand in for processes: the match and order of rows are the same."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("rss"))
+    return processes.matching(rows, "HIGH").limit(15).select("pid", "rss")
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) < 1024 THEN 'B' WHEN octet_length(encode(text)) < 1048576 THEN 'KB' ELSE 'MB' END AS unit FROM documents")
+def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = text.human_bytes(F.octet_length("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring_index(shown, " ", -1).alias("unit"))
+
+
+@query()
+def markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamgrid.functions import markdown
+
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.markdown_to_html(F.col("text")).alias("html"))
 
 
 # --- extensions over streams ------------------------------------------------------------------------------------------

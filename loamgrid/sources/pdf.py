@@ -16,6 +16,7 @@ from statistics import median
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamgrid.errors import DataError
 
@@ -342,6 +343,27 @@ def furniture(lines: DataFrame) -> DataFrame:
     return seen.join(n_pages, "doc").filter(good).select("doc", "key")
 
 
+def modal_size(lines: DataFrame) -> DataFrame:
+    """(doc, body) of lines (doc, size, text): the size most lines have, of equally frequent ones the smaller."""
+    counts = lines.filter(F.trim("text") != "").groupBy("doc", F.round("size", 1).alias("size")).agg(F.count("*").alias("n"))
+    return counts.groupBy("doc").agg(F.max_by("size", F.struct("n", (-F.col("size")).alias("s"))).alias("body"))
+
+
+def median_leading(lines: DataFrame) -> DataFrame:
+    """(doc, leading) of lines (doc, page, place, y): the median gap of neighbours on a page, 12 without any."""
+    before = F.lag("y").over(Window.partitionBy("doc", "page").orderBy("place"))
+    gaps = lines.withColumn("gap", F.abs(before - F.col("y"))).withColumn("gap", F.when(F.col("gap") > 0.1, F.col("gap")))
+    return gaps.groupBy("doc").agg(F.coalesce(F.median("gap"), F.lit(12.0)).alias("leading"))
+
+
+def heading_sizes(lines: DataFrame) -> DataFrame:
+    """(doc, size, level) of the sizes that stand out from the body's, largest first."""
+    sizes = lines.select("doc", "size").join(modal_size(lines), "doc").filter(F.col("size") >= HEADING_RATIO * F.col("body"))
+    distinct = sizes.select("doc", F.round("size", 1).alias("size")).distinct()
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("size")))
+    return distinct.withColumn("level", F.least(rank, F.lit(HEADING_LEVELS)))
+
+
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """The runs of PDF files; needs pypdf on the executors."""
     try:
