@@ -16,9 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids, null included."""
-    ids = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of docs whose id is in ids, null included; one shuffle by id."""
+    ids = common.written(ids.select("doc_id").distinct())
+    kept = docs.join(ids.filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
+    if ids.filter("doc_id IS NULL").limit(1).count():
+        kept = kept.unionByName(docs.filter("doc_id IS NULL"))
+    return kept
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
