@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Documents that a bucket of a leaf's order is meant to hold.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 #: Parts among which a leaf's documents are dealt to meet its budget.
 SALTS = 32
 #: Names the value of a null level.
