@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _anew(column: str):
+    """The same number, but not the column that an exchange was made by."""
+    return F.bitwise_not(F.bitwise_not(column))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge, component being its smallest reachable node.
 
@@ -24,10 +29,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         e = held.frame
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(_anew("u").alias("w"), "m")
+        large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u").alias("w"), "m")
+        small = large.join(least, F.col("u") == F.col("w"))
         star = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         new = common.Written(star)
         held.drop()
