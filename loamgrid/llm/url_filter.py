@@ -97,7 +97,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     found = urls.select("__u", F.concat("host", "path").alias("site"), F.explode(tokens).alias("token")).join(index, "token")
     found = found.filter(F.expr("regexp_like(CASE WHEN scope = 'site' THEN site ELSE __u END, pattern)"))
     best = found.groupBy("__u").agg(F.min_by(F.struct("name", "verdict"), F.struct((-F.col("rank")).alias("rank"), "name")).alias("best"))
+    best = best.select(F.concat("__u", F.lit("")).alias("__best"), "best")  # shuffled anew: a frequent URL's rows may be split
     return (
-        rows.join(best, "__u", "left")
+        rows.join(best, F.col("__u") == F.col("__best"), "left")
         .select("page_id", host.alias("host"), path.alias("path"), F.col("best.name").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )
