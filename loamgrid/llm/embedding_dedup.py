@@ -39,38 +39,44 @@ def directions(width: int, most: int = 32, seed: int = 17) -> np.ndarray:
     return q[:, : min(width, most)]
 
 
-def collisions(own: np.ndarray, other: np.ndarray, window: float) -> np.ndarray:
-    """For each row of ``own`` and of ``other`` how many projections collide (bytes).
-
-    Values are put on a grid finer than the window, rounding towards collision.
-    """
-    step = window / 40
-    a, b = np.floor(own / step).astype(np.int16), np.floor(other / step).astype(np.int16)
-    count = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(a.shape[1]):
-        gap = np.subtract(a[:, k : k + 1], b[None, :, k])
-        gap += 41
-        count += gap.view(np.uint16) <= 82
-    return count
+class Projections:
+    """One block's values along every direction, each sorted, and the windows of another block's queries in them."""
+
+    def __init__(self, values: np.ndarray, queries: np.ndarray, window: float):
+        n, m = values.shape
+        self.rank, self.low, self.wide = np.empty((m, n), np.uint16), np.empty((m, len(queries)), np.uint16), np.empty((m, len(queries)), np.uint16)
+        for k in range(m):
+            order = np.argsort(values[:, k], kind="stable")
+            self.rank[k, order] = np.arange(n)
+            line = values[order, k]
+            low = np.searchsorted(line, queries[:, k] - window)
+            self.low[k], self.wide[k] = low, np.searchsorted(line, queries[:, k] + window, side="right") - low
+
+    def collisions(self, rows: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """In how many projections each of ``there`` has its rank in the window centred on each query of ``rows``."""
+        count = np.zeros((len(rows), len(there)), np.uint8)
+        for rank, low, wide in zip(self.rank[:, there], self.low[:, rows], self.wide[:, rows], strict=True):
+            count += (rank[None, :] - low[:, None] < wide[:, None]).view(np.uint8)  # below the window the difference wraps around
+        return count
 
 
 def pairs_within(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of unit rows (i of a, j of b; i < j in one block) with cosine >= ``least``."""
     axes = directions(a.shape[1])
-    m, reach = axes.shape[1], math.sqrt(max(0.0, 2 - 2 * least))
+    m, reach = axes.shape[1], math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     missing = max(1, math.ceil(MISSING * m))
-    window = reach / math.sqrt(missing)
     pa_, pb_ = a @ axes, b @ axes
+    lines = Projections(pb_, pa_, reach / math.sqrt(missing))
     by_first = np.argsort(pb_[:, 0], kind="stable")
     sorted_first = pb_[by_first, 0]
     mine = np.argsort(pa_[:, 0], kind="stable")
     for start in range(0, len(mine), QUERIES):
         rows = mine[start : start + QUERIES]
-        # no pair is further apart than its distance along any direction
-        low = np.searchsorted(sorted_first, pa_[rows[0], 0] - reach - 1e-9)
-        high = np.searchsorted(sorted_first, pa_[rows[-1], 0] + reach + 1e-9, side="right")
+        # no pair is further apart along any direction than it is
+        low = np.searchsorted(sorted_first, pa_[rows[0], 0] - reach)
+        high = np.searchsorted(sorted_first, pa_[rows[-1], 0] + reach, side="right")
         there = by_first[low:high]
-        i, j = np.nonzero(collisions(pa_[rows], pb_[there], window) > m - missing - 1)
+        i, j = np.nonzero(lines.collisions(rows, there) > m - missing - 1)
         i, j = rows[i], there[j]
         if same:
             i, j = i[i < j], j[i < j]
