@@ -16,9 +16,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids, null included; one shuffle by id."""
+    """The rows of docs whose id is in ids, null included; one shuffle by id, whatever their number."""
     ids = common.written(ids.select("doc_id").distinct())
-    kept = docs.join(ids.filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
+    kept = docs.join(ids.filter("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi")
     if ids.filter("doc_id IS NULL").limit(1).count():
         kept = kept.unionByName(docs.filter("doc_id IS NULL"))
     return kept
