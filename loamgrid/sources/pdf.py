@@ -8,8 +8,9 @@ runs, one document at a time.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from statistics import median
 
@@ -28,6 +29,8 @@ GUTTER, COLUMN_SHARE = 0.02, 0.6
 BAND, BAND_SHARE, BAND_PAGES, BAND_POINTS, BAND_DIGITS = 0.08, 0.5, 3, 4.0, 20
 HEADING_RATIO, HEADING_LEVELS, BOLD_LEVEL, BOLD_CHARS = 1.15, 6, 3, 60
 PARAGRAPH_GAP, LIST_GAP, HEADING_GAP, SHORT_LINE, INDENT_POINTS, INDENT_SLACK = 1.5, 1.2, 1.5, 0.85, 12.0, 4.0
+THIN, SLIVER = 2.0, 6.0
+SAFE_SCHEMES = ("http://", "https://", "mailto:", "ftp://", "ftps://")
 _BULLET = re.compile(r"[•◦▪·⁃–‐-]\s+")
 _NUMBERED = re.compile(r"(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)]\s+")
 
@@ -86,7 +89,7 @@ class Line:
 
     @property
     def rtl(self) -> bool:
-        return len(re.findall(r"[֐-ࣿיִ-﷿ﹰ-﻿]", self.text)) > len(re.findall("[A-Za-z]", self.text))
+        return _rtl(self.text)
 
     @property
     def inset(self) -> float:
@@ -94,6 +97,26 @@ class Line:
         return -self.x1 if self.rtl else self.x0
 
 
+def _rtl(text: str) -> bool:
+    return len(re.findall(r"[֐-ࣿיִ-﷿ﹰ-﻿]", text)) > len(re.findall("[A-Za-z]", text))
+
+
+def unshaped(text: str) -> str:
+    """Presentation forms as the letters they show; all else as it is."""
+    return re.sub("[\uFB1D-\uFDFF\uFE70-\uFEFC]+", lambda m: unicodedata.normalize("NFKC", m[0]), text)
+
+
+def reading_order(line: str) -> str:
+    """A line drawn from left to right in reading order: by python-bidi if installed, else reversed if it is right-to-left."""
+    if not _rtl(line):
+        return line
+    try:
+        from bidi.algorithm import get_display
+    except ImportError:
+        return line[::-1]
+    return get_display(line, base_dir="R")
+
+
 def baselines(runs: list[Run]) -> list[Line]:
     """Lines from the top: a run joins the line whose first baseline is near enough for either's size."""
     lines: list[list[Run]] = []
@@ -199,7 +222,83 @@ def tables(lines: list[Line]) -> list[Block | Line]:
     return out
 
 
-def blocks_of(pages: list[list[Line]], titles: dict[str, int] | None = None) -> list[Block]:
+@dataclass(frozen=True)
+class Box:
+    """A rectangle drawn on a page, often as thin as a line; (x, y) is its lower left corner."""
+
+    page: int
+    x: float
+    y: float
+    width: float
+    height: float
+
+
+def _edges(boxes: list[Box]) -> list[tuple[float, float, float, float]]:
+    """Boxes as horizontal and vertical segments (x0, y0, x1, y1); one thinner than THIN points is one of them."""
+    out = []
+    for b in boxes:
+        x1, y1 = b.x + b.width, b.y + b.height
+        if b.height < THIN:
+            out.append((b.x, b.y, x1, b.y))
+        elif b.width < THIN:
+            out.append((b.x, b.y, b.x, y1))
+        else:
+            out += [(b.x, b.y, x1, b.y), (b.x, y1, x1, y1), (b.x, b.y, b.x, y1), (x1, b.y, x1, y1)]
+    return out
+
+
+def _bands(values: list[float]) -> list[float]:
+    """Distinct positions from the lowest; ones closer than SLIVER points are one."""
+    out: list[float] = []
+    for value in sorted(values):
+        if not out or value - out[-1] >= SLIVER:
+            out.append(value)
+    return out
+
+
+def drawn_tables(runs: list[Run], boxes: list[Box]) -> tuple[list[tuple[float, Block]], list[Run]]:
+    """Tables of ruled grids of at least two by two cells that hold text, with their tops, and the runs outside them."""
+    segments = _edges(boxes)
+    group = list(range(len(segments)))
+
+    def find(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    order = sorted(range(len(segments)), key=lambda k: segments[k][0])
+    for at, k in enumerate(order):
+        a = segments[k]
+        for j in order[at + 1 :]:  # sorted by their left ends: what begins beyond a's right end cannot touch it
+            b = segments[j]
+            if b[0] > a[2] + THIN:
+                break
+            if b[1] <= a[3] + THIN and b[3] >= a[1] - THIN:
+                group[find(j)] = find(k)
+    clusters: dict[int, list[tuple[float, float, float, float]]] = {}
+    for k, segment in enumerate(segments):
+        clusters.setdefault(find(k), []).append(segment)
+    tables_, left = [], list(runs)
+    for lines in clusters.values():
+        xs, ys = _bands([s[0] for s in lines if s[0] == s[2]]), _bands([s[1] for s in lines if s[1] == s[3]])
+        if len(xs) < 3 or len(ys) < 3:
+            continue
+        cell: dict[tuple[int, int], list[Run]] = {}
+        for run in left:
+            x, y = (run.x + run.stop) / 2, run.y + run.size / 4
+            if xs[0] <= x <= xs[-1] and ys[0] <= y <= ys[-1]:
+                column, row = sum(x > v for v in xs[1:-1]), sum(y < v for v in ys[1:-1])
+                cell.setdefault((row, column), []).append(run)
+        if not any(r.text.strip() for own in cell.values() for r in own):
+            continue
+        used = {id(r) for own in cell.values() for r in own}
+        left = [r for r in left if id(r) not in used]
+        rows = [[" ".join(line.text for line in baselines(cell.get((r, c), []))) for c in range(len(xs) - 1)] for r in range(len(ys) - 1)]
+        tables_.append((ys[-1], Block("table", "", rows=rows)))
+    return tables_, left
+
+
+def blocks_of(pages: list[list[Line]], titles: dict[str, int] | None = None, drawn: dict[int, list[tuple[float, Block]]] | None = None) -> list[Block]:
     """Headings, list items, tables and paragraphs of a document's lines."""
     lines = [line for page in pages for line in page]
     body = body_size(lines)
@@ -211,9 +310,12 @@ def blocks_of(pages: list[list[Line]], titles: dict[str, int] | None = None) ->
         if not indents or inset - indents[-1] > INDENT_SLACK:
             indents.append(inset)
     out: list[Block] = []
-    for page in pages:
+    for number, page in enumerate(pages):
         gap = leading(page)
         pieces = tables(page)
+        for top, table in sorted((drawn or {}).get(number, []), key=lambda t: t[0]):
+            place = next((k for k, piece in enumerate(pieces) if isinstance(piece, Line) and piece.y < top), len(pieces))
+            pieces.insert(place, table)
         pending: list[Line] = []
         last: Line | None = None
 
@@ -294,42 +396,64 @@ def to_markdown(blocks: list[Block]) -> str:
 _BLOCKS = pa.schema([("doc", pa.string()), ("place", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("ordered", pa.bool_()), ("text", pa.string())])
 
 
-def _pages(rows: list[dict]) -> tuple[list[list[Line]], float]:
-    """Lines by page in reading order, and the pages' height."""
+def _blocks_from(rows: list[dict], boxes: list[dict] = ()) -> list[Block]:
+    """A document's blocks from its runs and drawn boxes."""
     height = max((r["height"] or 792.0 for r in rows), default=792.0)
     by_page: dict[int, list[dict]] = {}
     for r in rows:
         by_page.setdefault(r["page"], []).append(r)
-    whole = " ".join(r["text"] for r in rows)
-    rtl = len(re.findall(r"[֐-ࣿיִ-﷿ﹰ-﻿]", whole)) > len(re.findall("[A-Za-z]", whole))
-    pages = []
-    for _, own in sorted(by_page.items()):
-        runs = [Run(r["page"], r["x"], r["y"], r["size"], r["text"], bool(r["bold"]), bool(r["italic"]), r["end"]) for r in own if r["text"]]
+    rtl = _rtl(" ".join(r["text"] or "" for r in rows))
+    pages, drawn = [], {}
+    for number, (page, own) in enumerate(sorted(by_page.items())):
+        runs = [Run(r["page"], r["x"], r["y"], r["size"], unshaped(r["text"]), bool(r["bold"]), bool(r["italic"]), r["end"]) for r in own if r["text"]]
+        drawn[number], runs = drawn_tables(runs, [Box(b["page"], b["x"], b["y"], b["width"], b["height"]) for b in boxes if b["page"] == page])
         pages.append([line for column in columns(runs, own[0]["width"] or 612.0, rtl) for line in baselines(column)])
-    return pages, height
+    return blocks_of(without_furniture(pages, height), drawn=drawn)
 
 
-def pdf_blocks(runs: DataFrame) -> DataFrame:
-    """(doc, place, kind, level, ordered, text) of every block; a document's runs meet in one task, as its layout asks for."""
+def _by_document(runs: DataFrame, boxes: DataFrame | None, make: Callable[[str, list[Block]], pa.Table], ddl: str) -> DataFrame:
+    """One table for each document's blocks; a document's runs meet in one task, as its layout asks for."""
+    if boxes is None:
+        return runs.groupBy("doc").applyInArrow(lambda group: make(group["doc"][0].as_py(), _blocks_from(group.to_pylist())), ddl)
 
-    def work(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        blocks = blocks_of(without_furniture(*_pages(rows)))
-        doc = rows[0]["doc"]
+    def both(own: pa.Table, drawn: pa.Table) -> pa.Table:
+        return make(own["doc"][0].as_py() if own.num_rows else "", _blocks_from(own.to_pylist(), drawn.to_pylist()) if own.num_rows else [])
+
+    return runs.groupBy("doc").cogroup(boxes.groupBy("doc")).applyInArrow(both, ddl).filter("doc <> ''")
+
+
+def pdf_blocks(runs: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """(doc, place, kind, level, ordered, text) of every block; ``boxes`` (doc, page, x, y, width, height) rule tables."""
+
+    def make(doc: str, blocks: list[Block]) -> pa.Table:
         return pa.Table.from_pylist([{"doc": doc, "place": k, "kind": b.kind, "level": b.level, "ordered": b.ordered, "text": to_markdown([b]).strip() if b.kind == "table" else b.text} for k, b in enumerate(blocks)], _BLOCKS)
 
-    return runs.groupBy("doc").applyInArrow(work, "doc string, place int, kind string, level int, ordered boolean, text string")
+    return _by_document(runs, boxes, make, "doc string, place int, kind string, level int, ordered boolean, text string")
 
 
-def pdf_markdown(runs: DataFrame) -> DataFrame:
+def pdf_markdown(runs: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """(doc, markdown) of every document."""
     schema = pa.schema([("doc", pa.string()), ("markdown", pa.string())])
-
-    def work(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        return pa.Table.from_pylist([{"doc": rows[0]["doc"], "markdown": to_markdown(blocks_of(without_furniture(*_pages(rows))))}], schema)
-
-    return runs.groupBy("doc").applyInArrow(work, "doc string, markdown string")
+    return _by_document(runs, boxes, lambda doc, blocks: pa.Table.from_pylist([{"doc": doc, "markdown": to_markdown(blocks)}], schema), "doc string, markdown string")
+
+
+def linked_runs(runs: DataFrame, links: DataFrame) -> DataFrame:
+    """Runs with the target of the link box (doc, page, x, y, width, height, target) that holds their middle.
+
+    An equi-join on document and page with the position as its condition; targets
+    of other than safe schemes link nothing, and of several boxes the smallest wins.
+    """
+    safe = None
+    for scheme in SAFE_SCHEMES:
+        test = F.lower(F.col("target")).startswith(scheme)
+        safe = test if safe is None else safe | test
+    box = links.filter(safe).select(F.col("doc").alias("b_doc"), F.col("page").alias("b_page"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("width").alias("bw"), F.col("height").alias("bh"), "target")
+    middle = F.col("x") + F.lit(GLYPH) * F.col("size") * F.char_length("text") / 2
+    middle = F.coalesce((F.col("x") + F.col("end")) / 2, middle)
+    up = F.col("y") + F.col("size") / 4
+    inside = (F.col("doc") == F.col("b_doc")) & (F.col("page") == F.col("b_page")) & middle.between(F.col("bx"), F.col("bx") + F.col("bw")) & up.between(F.col("by"), F.col("by") + F.col("bh"))
+    met = runs.join(box, inside, "left")
+    return met.groupBy(*runs.columns).agg(F.min_by("target", F.col("bw") * F.col("bh")).alias("target"))
 
 
 def furniture(lines: DataFrame) -> DataFrame:

@@ -132,3 +132,23 @@ def test_pdf_columns_and_furniture(spark):
     assert [r.key for r in pdf.furniture(lines).collect()] == ["top:Page #"]
     with pytest.raises(DataError, match="pypdf"):
         pdf.read_pdf(spark, "/none")
+
+
+def test_pdf_drawn_tables(spark):
+    runs = [run("d", 0, 80, 690, "Name"), run("d", 0, 180, 690, "Age"), run("d", 0, 80, 670, "Ann"), run("d", 0, 180, 670, "41"), run("d", 0, 72, 740, "Before the table there is text."), run("d", 0, 72, 600, "After the table there is more.")]
+    lines = [("d", 0, 70.0, y, 200.0, 0.5) for y in (660.0, 682.0, 704.0)] + [("d", 0, x, 660.0, 0.5, 44.0) for x in (70.0, 170.0, 270.0)] + [("d", 0, 271.0, 660.0, 0.5, 44.0)]
+    boxes = spark.createDataFrame(lines, "doc string, page int, x double, y double, width double, height double")
+    text = pdf.pdf_markdown(spark.createDataFrame(runs, pdf.RUNS_DDL), boxes).first().markdown
+    assert text == "Before the table there is text.\n\n| Name | Age |\n| --- | --- |\n| Ann | 41 |\n\nAfter the table there is more.\n"
+    assert pdf.drawn_tables([], [pdf.Box(0, 0, 0, 100, 50)]) == ([], [])
+
+
+def test_pdf_links(spark):
+    runs = spark.createDataFrame([run("d", 0, 72, 700, "site"), run("d", 0, 72, 600, "evil"), run("d", 0, 72, 500, "none")], pdf.RUNS_DDL)
+    links = spark.createDataFrame([("d", 0, 70.0, 695.0, 60.0, 15.0, "https://a.b"), ("d", 0, 0.0, 0.0, 600.0, 750.0, "javascript:x"), ("d", 1, 0.0, 0.0, 600.0, 750.0, "https://c.d")], "doc string, page int, x double, y double, width double, height double, target string")
+    assert {r.text: r.target for r in pdf.linked_runs(runs, links).collect()} == {"site": "https://a.b", "evil": None, "none": None}
+
+
+def test_pdf_right_to_left():
+    assert pdf.unshaped("\ufeb3\ufefc\ufee1 a") == "سلام a"
+    assert pdf.reading_order("abc") == "abc" and pdf.reading_order("םולש") in ("שלום", "םולש")
