@@ -26,7 +26,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good."""
-    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = common.written(quality_classifier.feature_table(docs))
+    model = quality_classifier.train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.keep_good(docs.select(*COLUMNS), model)
 
 

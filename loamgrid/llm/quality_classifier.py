@@ -1,9 +1,12 @@
 """A quality classifier learned from positive and unlabelled documents.
 
-The trusted positives and a sample of unlabelled text train a small network by
-the non-negative unbiased risk: with class prior p and loss l,
-    R = p * mean_P l(g, +1) + max(0, mean_U l(g, -1) - p * mean_P l(g, -1)),
-the gradient turning back on the second part whenever it falls below zero.
+With class prior p and the squared loss l the non-negative unbiased risk is
+    R = p * mean_P l(g, +1) + max(0, mean_U l(g, -1) - p * mean_P l(g, -1)).
+The score function g is linear in a fixed set of basis functions of a text's
+features, so R and its gradient depend on the data through the bases' means and
+second moments alone.  Spark sums those up over all trusted positives and all
+unlabelled documents; no sample is drawn, and fitting costs the same at any size.
+The minimiser of the squared loss is 2 P(y = 1 | x) - 1, which makes a score.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the training samples; documents come by the smallest hash of their id.
-MOST_POSITIVE = 4000
-MOST_UNLABELLED = 12000
+#: Quantiles of every feature, over all documents, between which its ramps rise.
+QUANTILES = (0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.84, 0.87, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99)
+#: Numbers of a moment matrix that travel in one row.
+CHUNK = 2048
 
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=_@"
 _UPPER, _LOWER, _DIGITS = (bytes(c for c in range(256) if not a <= c <= b) for a, b in ((65, 90), (97, 122), (48, 57)))
@@ -63,24 +67,43 @@ def features(raw: bytes) -> list[float]:
     ]
 
 
+@dataclass(frozen=True)
+class Basis:
+    """One constant and, for every feature, ramps from 0 to 1 between its neighbouring quantiles."""
+
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, quantiles: list[list[float]]) -> Basis:
+        ramps = []
+        for k, values in enumerate(quantiles):
+            edges = np.unique(np.asarray(values, float))
+            # a feature that is almost always the same still tells apart what lies above it
+            ramps += [(k, a, b) for a, b in zip(edges, edges[1:], strict=False)] or [(k, edges[0], edges[0] + 1e-3)]
+        feature, low, high = zip(*ramps, strict=True)
+        return cls(np.array(feature), np.array(low), np.array(high))
+
+    @property
+    def size(self) -> int:
+        return 1 + len(self.feature)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        rise = np.clip((x[:, self.feature] - self.low) / (self.high - self.low), 0, 1)
+        return np.concatenate([np.ones((len(x), 1)), rise], 1)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Feature scaling, one hidden layer and the estimated class prior."""
-
-    mean: np.ndarray
-    scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
-    prior: float
+    """Bases, their weights and the estimated class prior."""
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
+    basis: Basis
+    weights: np.ndarray
+    prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+        return np.clip((self.basis(x) @ self.weights + 1) / 2, 0, 1)
 
 
 def estimated_prior(n_positive: int, n_negative: int) -> float:
@@ -88,86 +111,126 @@ def estimated_prior(n_positive: int, n_negative: int) -> float:
     return (n_positive + 1) / (n_positive + n_negative + 2)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 500, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Minimise the non-negative risk with the logistic loss by Adam."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    held = [rng.standard_normal((p.shape[1], hidden)) / math.sqrt(p.shape[1]), np.zeros(hidden), rng.standard_normal(hidden) / math.sqrt(hidden), np.zeros(1)]
-    first, second = [np.zeros_like(w) for w in held], [np.zeros_like(w) for w in held]
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-    soft = lambda g: np.logaddexp(0, g)
-    for step in range(1, steps + 1):
-        hp, hu = np.tanh(p @ held[0] + held[1]), np.tanh(u @ held[0] + held[1])
-        gp, gu = hp @ held[2] + held[3], hu @ held[2] + held[3]
-        negative = soft(gu).mean() - prior * soft(gp).mean()
-        if negative >= 0:
-            dp, du = prior * (-sigmoid(-gp) - sigmoid(gp)) / len(gp), sigmoid(gu) / len(gu)
-        else:
-            dp, du = prior * sigmoid(gp) / len(gp), -sigmoid(gu) / len(gu)
-        back = [(d[:, None] * held[2]) * (1 - h**2) for d, h in ((dp, hp), (du, hu))]
-        grads = [p.T @ back[0] + u.T @ back[1], back[0].sum(0) + back[1].sum(0), hp.T @ dp + hu.T @ du, np.array([dp.sum() + du.sum()])]
-        for k, grad in enumerate(grads):
-            grad = grad + decay * held[k]
-            first[k] = 0.9 * first[k] + 0.1 * grad
-            second[k] = 0.999 * second[k] + 0.001 * grad**2
-            held[k] = held[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, held[0], held[1], held[2], float(held[3][0]), prior)
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 4000, decay: float = 5e-3) -> np.ndarray:
+    """The weights that minimise the non-negative risk, from both classes' second moments.
+
+    The first basis is the constant one, so that a moment's first row is the mean.
+    It starts from the unbiased risk's minimiser.  Where the second part of the risk
+    is negative its gradient is followed back, as the non-negative risk asks for;
+    the weights of least risk seen are kept.
+    """
+    n = len(positive)
+    ridge = decay * np.eye(n)
+    ridge[0, 0] = 0
+    # unbiased: p/4 mean_P[(1-g)^2 - (1+g)^2] + 1/4 mean_U (1+g)^2 = -p w.m_P + (1 + 2 w.m_U + w S_U w) / 4
+    w = np.linalg.solve(unlabelled / 2 + 2 * ridge + 1e-9 * np.eye(n), prior * positive[0] - unlabelled[0] / 2)
+    mean = lambda moment, sign: (1 + sign * 2 * (moment[0] @ w) + w @ moment @ w) / 4
+    slope = lambda moment, sign: (sign * moment[0] + moment @ w) / 2
+    rate = 0.5 / np.linalg.eigvalsh(unlabelled + prior * positive + 4 * ridge)[-1]
+    best, least = w, math.inf
+    for _ in range(steps):
+        below = mean(unlabelled, 1) - prior * mean(positive, 1)
+        risk = prior * mean(positive, -1) + max(0.0, below) + w @ ridge @ w
+        if risk < least:
+            best, least = w, risk
+        second = slope(unlabelled, 1) - prior * slope(positive, 1)
+        w = w - rate * ((prior * slope(positive, -1) + second if below >= 0 else -second) + 2 * ridge @ w)
+    return best
 
 
 def _bucket(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model | None:
-    """Fit the model on at most ``most_positive`` documents labelled 1 and ``most_unlabelled`` without a label.
+_ROWS = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32()))])
 
-    Rows whose crc32(id) mod 5 is 0 are held out.  None if a sample is empty.
-    """
-    known = labels.filter((_bucket(id_col) != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).alias("y"))
-    n_good, n_bad = known.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first()
-    ids = docs.filter(F.col(id_col).isNotNull() & (_bucket(id_col) != 0)).select(F.col(id_col).cast("long").alias("s_id"))
-    some = F.xxhash64(F.lit(11), "s_id")
-    trusted = known.filter("y = 1").select(F.col("l_id").alias("s_id")).distinct().orderBy(some).limit(most_positive)
-    unknown = ids.join(labels.select(F.col(id_col).cast("long").alias("l_id")), F.col("s_id") == F.col("l_id"), "left_anti").distinct().orderBy(some).limit(most_unlabelled)
-    chosen = trusted.withColumn("known", F.lit(1)).unionByName(unknown.withColumn("known", F.lit(0)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id"))  # at most the two bounds together
-    found = _with_features(sample.select("known", "text"), "known").collect()
-    found.sort(key=lambda r: (r[0], r[1]))
-    x = [np.array([r[1] for r in found if r[0] == k]) for k in (1, 0)]
-    if not len(x[0]) or not len(x[1]):
-        return None
-    return fit(*x, estimated_prior(n_good, n_bad))
 
-
-def _with_features(rows: DataFrame, first: str) -> DataFrame:
-    schema = pa.schema([(first, pa.int64()), ("x", pa.list_(pa.float64()))])
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x) of every document row: the one pass over the texts that training and scoring need."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return common.batches(((key, features(raw)) for key, raw in common.texts(batches)), schema)
+        return common.batches(((key, features(raw)) for key, raw in common.texts(batches)), _ROWS)
+
+    return common.id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, x array<float>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def moments(rows: DataFrame, basis: Basis) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and mean second moments of the bases for each value of the column known, over all rows (known, x)."""
+    upper = np.triu_indices(basis.size)
+    schema = pa.schema([("known", pa.int32()), ("chunk", pa.int32()), ("total", pa.list_(pa.float64()))])
+    ddl = "known int, chunk int, total array<double>"
 
-    return rows.select(F.col(first).cast("long").alias(first), "text").mapInArrow(work, f"{first} long, x array<double>")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            known, bases = batch.column(0).to_numpy(), basis(_matrix(batch.column(1)))
+            for value in np.unique(known).tolist():
+                own = bases[known == value]
+                sums[value] = sums.get(value, 0) + own.T @ own
+        rows_ = ((value, k // CHUNK, flat[k : k + CHUNK]) for value, total in sums.items() for flat in (total[upper],) for k in range(0, len(flat), CHUNK))
+        return common.batches(rows_, schema, 16)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.asarray(v) for batch in group.to_batches(16) for v in batch.column(2).to_pylist())
+        return pa.Table.from_pylist([{"known": group["known"][0].as_py(), "chunk": group["chunk"][0].as_py(), "total": total}], schema)
+
+    found: dict[int, dict[int, list[float]]] = {}
+    for r in rows.select(F.col("known").cast("int"), "x").mapInArrow(work, ddl).groupBy("known", "chunk").applyInArrow(add, ddl).collect():
+        found.setdefault(r["known"], {})[r["chunk"]] = r["total"]
+    out = {}
+    for value, chunks in found.items():
+        full = np.zeros((basis.size, basis.size))
+        full[upper] = np.concatenate([chunks[k] for k in sorted(chunks)])
+        full = full + full.T - np.diag(np.diag(full))
+        out[value] = round(full[0, 0]), full / full[0, 0]
+    return out
+
+
+def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model | None:
+    """Fit the model on all rows of a feature table that are labelled 1 and all without a label.
+
+    Labels of rows whose crc32(id) mod 5 is 0 are held out: those rows are neither.
+    A document with several labels is trusted only if all are 1.  None if there is
+    no positive or no unlabelled row.
+    """
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.min(label_col).alias("y"))
+    marks = marks.withColumn("learn", _bucket("l_id") != 0)
+    n_good, n_bad = marks.filter("learn").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") != 1)).first()
+    known = F.when(F.col("l_id").isNull(), 0).when(F.col("learn") & (F.col("y") == 1), 1)
+    rows = table.join(marks, F.col("doc_id") == F.col("l_id"), "left").select(known.alias("known"), "x").filter("known IS NOT NULL")
+    quantiles = table.agg(*(F.percentile_approx(F.col("x")[k], list(QUANTILES)).alias(f"q{k}") for k in range(N_FEATURES))).first()
+    if quantiles[0] is None:
+        return None
+    basis = Basis.of([list(q) for q in quantiles])
+    found = moments(rows, basis)
+    if 0 not in found or 1 not in found:
+        return None
+    prior = estimated_prior(n_good, n_bad)
+    decay = 3e-3 + 0.015 * basis.size / min(found[0][0], found[1][0])  # what few rows cannot tell is held back
+    return Model(basis, fit(found[1][1], found[0][1], prior, decay=decay), prior)
 
 
-def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per input row.
+def score_quality(table: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row for each of a feature table.
 
     ``held_out`` tells that crc32(id as text) mod 5 is 0; a null id is not held
     out.  ``score`` is the probability of label 1; ``predicted`` is 1 from
     ``threshold`` on.  A null text is empty; empty texts are scored too.  Without
     a model (nothing to learn from) every score is 0.5.  Rows that repeat get a
-    row each.  Other columns of ``docs`` are not read.
+    row each.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in common.batches(((doc_id, features(raw)) for doc_id, raw in common.texts(batches)), pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))]), 512):
-            x = np.array(held.column(1).to_pylist()).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([held.column(0), pa.array(np.full(len(x), 0.5) if model is None else model.score(x))], schema=schema)
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), 0.5) if model is None else model.score(x))], schema=schema)
 
-    out = common.id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, score double")
+    out = table.select("doc_id", "x").mapInArrow(work, "doc_id long, score double")
     held_out = F.coalesce(_bucket("doc_id") == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
@@ -181,7 +244,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", thre
             at = batch.schema.get_field_index(text_col)
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                x = np.array([features(raw or b"") for raw in part.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, N_FEATURES)
+                x = np.array([features(raw or b"") for raw in part.column(at).cast(pa.binary()).to_pylist()], np.float32).reshape(-1, N_FEATURES).astype(np.float64)
                 yield part.filter(pa.array((np.full(len(x), 0.5) if model is None else model.score(x)) >= threshold))
 
     common.small_batches(docs.sparkSession)

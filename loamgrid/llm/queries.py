@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, url_filter
+from . import common, embedding_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality_classifier.score_quality(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+    rows = common.written(quality_classifier.feature_table(_table(spark, sf_dir, "documents")))
+    return quality_classifier.score_quality(rows, quality_classifier.train(rows, _table(spark, sf_dir, "labels")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

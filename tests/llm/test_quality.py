@@ -61,10 +61,25 @@ def test_positive_unlabelled_learning():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 1, (4000, 5)), rng.normal(-1, 1, (1500, 5))
     unlabelled = np.concatenate([good[2000:], bad[:700]])
-    model = qc.fit(good[:2000], unlabelled, 2000 / 2700, steps=300)
+    basis = qc.Basis.of([np.quantile(unlabelled[:, k], qc.QUANTILES).tolist() for k in range(5)])
+    moment = lambda x: basis(x).T @ basis(x) / len(x)
+    model = qc.Model(basis, qc.fit(moment(good[:2000]), moment(unlabelled), 2000 / 2700), 2000 / 2700)
     assert (model.score(good[:1000]) > 0.5).mean() > 0.95 and (model.score(bad[700:]) > 0.5).mean() < 0.15
 
 
+def test_moments_cover_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((700, qc.N_FEATURES)).astype(np.float32)
+    known = rng.integers(0, 2, 700)
+    frame = spark.createDataFrame([(int(k), [float(v) for v in row]) for k, row in zip(known, x, strict=True)], "known int, x array<float>").repartition(5)
+    basis = qc.Basis.of([[0.1, 0.1, 0.5, 0.9]] * (qc.N_FEATURES - 1) + [[0.3]])
+    found = qc.moments(frame, basis)
+    for value in (0, 1):
+        own = basis(x[known == value].astype(float))
+        n, moment = found[value]
+        assert n == len(own) and np.allclose(moment, own.T @ own / n)
+
+
 def test_held_out_accuracy(spark):
     bad = ["Menu | Home | About | " * 12, "BUY!! NOW!! CHEAP!! " * 20, "spam spam spam spam " * 30, "gr### ab$$$ cd%%% ef&&& " * 15]
     rows, labels = [], []
@@ -76,8 +91,9 @@ def test_held_out_accuracy(spark):
             labels.append((k, int(good)))
     docs = spark.createDataFrame([*rows, (900, None, None), (901, "", "en"), (None, GOOD, None)], "doc_id long, text string, score string")
     marks = spark.createDataFrame([*labels, (None, 1), (5000, None)], "doc_id long, quality int")
-    model = qc.train(docs, marks)
-    out = {r.doc_id: r for r in qc.score_quality(docs, model).collect()}
+    rows_ = qc.feature_table(docs)
+    model = qc.train(rows_, marks)
+    out = {r.doc_id: r for r in qc.score_quality(rows_, model).collect()}
     assert len(out) == 603 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out.values())
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in out.items() if k is not None)
     held = [(out[k].predicted, int(k % 4 != 0)) for k in range(600) if out[k].held_out]
@@ -89,7 +105,8 @@ def test_held_out_accuracy(spark):
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert qc.train(docs, none) is None
-    assert [r.score for r in qc.score_quality(docs, None).collect()] == [0.5]
-    assert qc.score_quality(docs.limit(0), None).count() == 0
+    rows = qc.feature_table(docs)
+    assert qc.train(rows, none) is None and qc.train(qc.feature_table(docs.limit(0)), none) is None
+    assert [r.score for r in qc.score_quality(rows, None).collect()] == [0.5]
+    assert qc.score_quality(rows.limit(0), None).count() == 0
     assert qc.keep_good(docs.limit(0), None).count() == 0
