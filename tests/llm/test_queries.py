@@ -48,3 +48,16 @@ def test_stages_on_odd_rows(spark, tmp_path):
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("name", ["op3_pii", "op10_url_filter"])
+def test_native_plans(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_scans_read_what_they_need(spark):
+    plan = queries.QUERIES["op10_url_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "html" not in plan
+    plan = queries.QUERIES["op5_quality_rules"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "source" not in plan and "lang" not in plan
