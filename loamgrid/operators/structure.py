@@ -54,7 +54,7 @@ def _kind(value):
 
 
 def structure(frame: DataFrame, json_col: str, most_depth: int = 32) -> DataFrame:
-    """(path, depth, bits, present, nulls) of every path in a column of JSON text.
+    """(path, depth, bits, present, nulls, objects) of every path in a column of JSON text.
 
     A path is ``$`` followed by ``.key`` and ``[]`` steps.  One level at a time
     is exploded from the variants of the level above until none has children; a
@@ -65,14 +65,14 @@ def structure(frame: DataFrame, json_col: str, most_depth: int = 32) -> DataFram
     out = None
     for depth in range(most_depth + 1):
         kind = level.select("path", "v", _kind(F.col("v")).alias("bit"))
-        found = kind.groupBy("path").agg(F.bit_or("bit").cast("long").alias("bits"), F.count("*").alias("present"), F.count_if(F.col("bit") == BIT["null"]).alias("nulls")).withColumn("depth", F.lit(depth))
+        found = kind.groupBy("path").agg(F.bit_or("bit").cast("long").alias("bits"), F.count("*").alias("present"), F.count_if(F.col("bit") == BIT["null"]).alias("nulls"), F.count_if(F.col("bit") == BIT["object"]).alias("objects")).withColumn("depth", F.lit(depth))
         out = found if out is None else out.unionByName(found)
         inner = kind.filter(F.col("bit").isin(BIT["list"], BIT["object"]))
         if depth == most_depth or inner.limit(1).count() == 0:
             break
         inner.createOrReplaceTempView("loamgrid_level")
         level = frame.sparkSession.sql("SELECT path || CASE WHEN e.key IS NULL THEN '[]' ELSE '.' || e.key END AS path, e.value AS v FROM loamgrid_level, LATERAL variant_explode(v) AS e")
-    return out.select("path", "depth", "bits", "present", "nulls")
+    return out.select("path", "depth", "bits", "present", "nulls", "objects")
 
 
 def tree(frame: DataFrame, json_col: str) -> Node:
@@ -94,29 +94,12 @@ def tree(frame: DataFrame, json_col: str) -> Node:
             nodes[path] = node
         node.bits, node.present, node.nulls = row["bits"], row["present"], row["nulls"]
         node.total = node.present
-    objects = {r["path"]: r["n"] for r in _objects(frame, json_col).collect()}
     for path, node in nodes.items():
         for child in node.children.values():
-            child.total = objects.get(path, child.present)
+            child.total = rows[path]["objects"]
     return root
 
 
-def _objects(frame: DataFrame, json_col: str) -> DataFrame:
-    """(path, n): how many values at a path are objects."""
-    level = frame.select(F.lit("$").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")).filter("v IS NOT NULL")
-    out = None
-    for _ in range(33):
-        kind = level.select("path", "v", _kind(F.col("v")).alias("bit"))
-        found = kind.filter(F.col("bit") == BIT["object"]).groupBy("path").agg(F.count("*").alias("n"))
-        out = found if out is None else out.unionByName(found)
-        inner = kind.filter(F.col("bit").isin(BIT["list"], BIT["object"]))
-        if inner.limit(1).count() == 0:
-            break
-        inner.createOrReplaceTempView("loamgrid_level")
-        level = frame.sparkSession.sql("SELECT path || CASE WHEN e.key IS NULL THEN '[]' ELSE '.' || e.key END AS path, e.value AS v FROM loamgrid_level, LATERAL variant_explode(v) AS e")
-    return out
-
-
 def render_tree(root: Node, depth: int | None = None, show_counts: bool = True) -> str:
     """The tree as indented text."""
     lines = []
