@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamgrid import lineage
 from loamgrid.errors import DataError
 
 
@@ -38,11 +39,13 @@ def ranked(docs: DataFrame, order: list[Column], name: str = "row", ranges: int
     """Adds the zero-based place in a total order without one task for all rows.
 
     Rows are dealt into ranges of the order; every range is numbered by itself
-    and starts after the counts of those before it.
+    and starts after the counts of those before it.  The ranges come from a sample
+    that another run of the plan would draw anew, so the dealt rows are written
+    once and read for both the counts and the numbers.
     """
     spark = docs.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    dealt = lineage.fixed(docs.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__range").orderBy(*order)

@@ -214,6 +214,14 @@ def test_partitions(spark):
     assert texts.count() == 3 and texts.collect() == files.random_texts(spark, 3, 2).collect()
 
 
+def test_numbering_a_large_order(spark):
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
+    out = files.ranked(rows, [F.col("h"), F.col("id")], "row", ranges=9)
+    assert out.agg(F.min("row"), F.max("row"), F.countDistinct("row")).first() == (0, 199_999, 200_000)
+    above = out.select("h", "row").orderBy("row").toPandas()
+    assert above.h.is_monotonic_increasing
+
+
 def test_stream(spark, tmp_path):
     rows = [(k, f"2024-01-01 0{k % 3}:00:00", k % 2, "click", float(k)) for k in range(12)]
     frame = spark.createDataFrame(rows, "event_id long, t string, user_id int, event_type string, value double").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
