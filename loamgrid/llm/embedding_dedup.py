@@ -107,7 +107,8 @@ def compare(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    value = F.col(vector_col).cast("array<double>")
+    narrow = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
+    value = F.col(vector_col) if narrow else F.col(vector_col).cast("array<double>")  # floats travel as they are
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     largest = F.array_max(F.transform("v", F.abs))
@@ -147,7 +148,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         ids = group["vec_id"].to_numpy()
         flat = group["v"].combine_chunks()
-        x = flat.values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() :][: len(ids) * key[1].as_py()].reshape(len(ids), -1)
+        x = flat.values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() :][: len(ids) * key[1].as_py()].reshape(len(ids), -1).astype(np.float64)
         x = x / np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         block = group["block"].to_numpy()
