@@ -493,6 +493,13 @@ def process_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return processes.matching(rows, "HIGH").limit(15).select("pid", "rss")
 
 
+@query("SELECT o_orderkey AS pid, o_totalprice AS rss FROM orders WHERE contains(lower(o_orderpriority), 'high')")
+def process_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match, of which process_find shows the largest 15."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("rss"))
+    return processes.matching(rows, "HIGH").select("pid", "rss")
+
+
 @query("SELECT doc_id, CASE WHEN octet_length(encode(text)) < 1024 THEN 'B' WHEN octet_length(encode(text)) < 1048576 THEN 'KB' ELSE 'MB' END AS unit FROM documents")
 def size_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = text.human_bytes(F.octet_length("text"))
