@@ -372,8 +372,7 @@ def case_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def case_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", *(text.convert_case(head, s).alias(s.replace("-", "_")) for s in ("title", "camel", "slug", "slug-unicode")))
+    return table(spark, sf_dir, "documents").select("doc_id", *(text.convert_case(F.col("text"), s).alias(s.replace("-", "_")) for s in ("title", "camel", "slug", "slug-unicode")))
 
 
 @query("SELECT doc_id, md5(base64(encode(text))) AS b64, md5(lower(hex(encode(text)))) AS hexed, md5(url_encode(text)) AS url, true AS back FROM documents")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from loamgrid.plans import registry
@@ -15,3 +18,27 @@ def orders_with_high(spark) -> int:
 def test_process_find_all_gives_every_match(spark):
     whole = orders_with_high(spark)
     assert whole > 15 and registry.QUERIES["process_find_all"](spark, SF).count() == whole
+
+
+def test_case_slugs_converts_whole_texts(spark):
+    """All lines of a text, by plain Python."""
+
+    def camel(t):
+        words = [w for w in re.split(r"[\s_\-]+", t.strip()) if w]
+        return "".join(w.lower() if k == 0 else w[:1].upper() + w[1:].lower() for k, w in enumerate(words))
+
+    def slug(t, wide):
+        t = t.strip()
+        t = (t if wide else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode()).lower()
+        return re.sub(r"[\s_-]+", "-", re.sub(r"[^\w\s-]", "", t)).strip("-")
+
+    def title(t):
+        return re.sub(r"\b[\w']+", lambda m: m[0][:1].upper() + m[0][1:].lower(), t)
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert any("\n" in t for t in texts.values())
+    rows = registry.QUERIES["case_slugs"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.title, r.camel, r.slug, r.slug_unicode) == (title(t), camel(t), slug(t, False), slug(t, True))
