@@ -114,6 +114,12 @@ def display_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.display_rows(two)
 
 
+@query()
+def display_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole vectors, of which display_containers shows two rounded components; float text differs by engine, so there is no SQL."""
+    return profile.display_rows(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field, false AS wide" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
 def wide_int_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.wide_columns(table(spark, sf_dir, "lineitem"))

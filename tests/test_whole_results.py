@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -42,3 +44,13 @@ def test_case_slugs_converts_whole_texts(spark):
     for r in rows:
         t = texts[r.doc_id]
         assert (r.title, r.camel, r.slug, r.slug_unicode) == (title(t), camel(t), slug(t, False), slug(t, True))
+
+
+def test_display_vectors_shows_every_component(spark):
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    rows = registry.QUERIES["display_vectors"](spark, SF).collect()
+    assert len(rows) == len(vectors)
+    for r in rows:
+        shown = json.loads(r.embedding)
+        assert len(shown) > 2 and " " not in r.embedding
+        assert struct.pack(f"{len(shown)}f", *shown) == struct.pack(f"{len(shown)}f", *vectors[r.vec_id])
