@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import itertools
+import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loamgrid import lineage
@@ -72,13 +75,15 @@ def split_chunks(docs: DataFrame, size: int, order: list[Column]) -> DataFrame:
 
 def balanced(sizes: Iterable[tuple[object, int]], parts: int) -> dict:
     """The part (from 1) of each item: largest first, each to the part that is smallest so far."""
+    return {key: part for key, _, part in _balanced(sorted(sizes, key=lambda item: -item[1]), parts)}
+
+
+def _balanced(falling: Iterable[tuple[object, int]], parts: int) -> Iterator[tuple[object, int, int]]:
     heap = [(0, part) for part in range(1, parts + 1)]
-    out = {}
-    for key, size in sorted(sizes, key=lambda item: -item[1]):
-        held, part = heapq.heappop(heap)
-        out[key] = part
-        heapq.heappush(heap, (held + size, part))
-    return out
+    for key, size in falling:
+        held, part = heap[0]
+        heapq.heapreplace(heap, (held + size, part))
+        yield key, size, part
 
 
 def filled(sizes: Iterable[tuple[object, int]], capacity: int, threshold: float = 0.05) -> dict:
@@ -88,31 +93,43 @@ def filled(sizes: Iterable[tuple[object, int]], capacity: int, threshold: float
     more than ``threshold`` of the capacity opens a part, and so does an item
     larger than any part unless the smallest is empty.
     """
-    held, out = [0], {}
-    for key, size in sorted(sizes, key=lambda item: -item[1]):
-        at = min(range(len(held)), key=held.__getitem__)
-        over = size > capacity - held[at] + threshold * capacity if size <= capacity else held[at] > 0
+    return {key: part for key, _, part in _filled(sorted(sizes, key=lambda item: -item[1]), capacity, threshold)}
+
+
+def _filled(falling: Iterable[tuple[object, int]], capacity: int, threshold: float = 0.05) -> Iterator[tuple[object, int, int]]:
+    heap = [(0, 1)]
+    for key, size in falling:
+        held, part = heap[0]
+        over = size > capacity - held + threshold * capacity if size <= capacity else held > 0
         if over:
-            held.append(0)
-            at = len(held) - 1
-        held[at] += size
-        out[key] = at + 1
-    return out
+            part = len(heap) + 1
+            heapq.heappush(heap, (size, part))
+        else:
+            heapq.heapreplace(heap, (held + size, part))
+        yield key, size, part
 
 
-#: Greedy partitioning orders all sizes on the driver; more rows are refused.
-MOST_GREEDY = 1_000_000
+#: Assignments that the driver holds before they are written.
+GREEDY_ROWS = 100_000
 
 
 def partition_by_size(docs: DataFrame, id_col: str, size: Column, parts: int = 0, capacity: int = 0) -> DataFrame:
-    """(id, size, part) by ``balanced`` over ``parts`` or ``filled`` to ``capacity``; at most MOST_GREEDY rows."""
-    rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size")).orderBy(F.desc("size"), "id").limit(MOST_GREEDY + 1).collect()
-    if len(rows) > MOST_GREEDY:
-        raise DataError(f"Partitioning by size takes at most {MOST_GREEDY:,} rows.")
-    sizes = [(r["id"], r["size"]) for r in rows]
-    plan = balanced(sizes, parts) if parts else filled(sizes, capacity)
-    kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    return docs.sparkSession.createDataFrame([(k, s, plan[k]) for k, s in sizes], f"id {kind}, size long, part int")
+    """(id, size, part) by ``balanced`` over ``parts`` or ``filled`` to ``capacity``; a null size is 0.
+
+    Greedy by nature: Spark sorts ids and sizes, and the driver takes them one
+    range of the order at a time and writes assignments out as they come.  It
+    holds a range, GREEDY_ROWS assignments and the sizes of the parts.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
+    schema = StructType([*rows.schema.fields, StructField("part", IntegerType())])
+    falling = ((r["id"], r["size"]) for r in rows.orderBy(F.desc("size"), "id").toLocalIterator())
+    placed = _balanced(falling, parts) if parts else _filled(falling, capacity)
+    path = f"{lineage.shared_folder(spark)}/loamgrid-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for batch in itertools.batched(placed, GREEDY_ROWS):
+        spark.createDataFrame(list(batch), schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def bucket_counts(docs: DataFrame, key: Column) -> DataFrame:

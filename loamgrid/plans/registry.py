@@ -437,7 +437,7 @@ def bucket_first_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def partition_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.partition_by_size(table(spark, sf_dir, "part"), "p_partkey", F.char_length("p_name"), parts=5)
+    return files.partition_by_size(table(spark, sf_dir, "documents"), "doc_id", F.char_length("text"), parts=5)
 
 
 @query("SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS files FROM documents")

@@ -9,6 +9,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from loamgrid.operators import files
 from loamgrid.plans import registry
 from tests.conftest import SF
 
@@ -54,3 +55,20 @@ def test_display_vectors_shows_every_component(spark):
         shown = json.loads(r.embedding)
         assert len(shown) > 2 and " " not in r.embedding
         assert struct.pack(f"{len(shown)}f", *shown) == struct.pack(f"{len(shown)}f", *vectors[r.vec_id])
+
+
+def test_partition_by_size_has_no_most_rows(spark):
+    """More rows than were once taken; parts are those of the plain greedy method."""
+    n = 1_000_100
+    rows = spark.range(n).select("id", (F.col("id") % 1000).alias("size"))
+    plan = files.balanced(((k, k % 1000) for k in range(n)), 3)
+    out = files.partition_by_size(rows, "id", F.col("size"), parts=3).toPandas()
+    assert len(out) == n and [plan[k] for k in out["id"]] == out["part"].tolist()
+
+
+def test_partition_by_size_over_documents(spark):
+    lengths = [(r.doc_id, r.n) for r in spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "char_length(text) AS n").orderBy("doc_id").collect()]
+    plan = files.balanced(lengths, 5)
+    assert {r.id: r.part for r in registry.QUERIES["partition_by_size"](spark, SF).collect()} == plan
+    rows = spark.createDataFrame(lengths, "doc_id long, n long")
+    assert {r.id: r.part for r in files.partition_by_size(rows, "doc_id", F.col("n"), capacity=20_000).collect()} == files.filled(lengths, 20_000)
