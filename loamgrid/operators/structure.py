@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid import lineage
 from loamgrid.functions.lattice import BIT, resolve, type_label
 
 
@@ -53,17 +55,21 @@ def _kind(value):
     )
 
 
-def structure(frame: DataFrame, json_col: str, most_depth: int = 32) -> DataFrame:
+#: Levels after which the next level and the paths so far are written out: plans stay short however deep the JSON is.
+LEVELS = 8
+
+
+def structure(frame: DataFrame, json_col: str, most_depth: int | None = None) -> DataFrame:
     """(path, depth, bits, present, nulls, objects) of every path in a column of JSON text.
 
     A path is ``$`` followed by ``.key`` and ``[]`` steps.  One level at a time
-    is exploded from the variants of the level above until none has children; a
-    level is one aggregate whose partial sums precede the shuffle.  Texts that are
-    not JSON count as missing documents.
+    is exploded from the variants of the level above until none has children, or
+    down to ``most_depth`` where it is given; a level is one aggregate whose partial
+    sums precede the shuffle.  Texts that are not JSON count as missing documents.
     """
     level = frame.select(F.lit("$").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")).filter("v IS NOT NULL")
     out = None
-    for depth in range(most_depth + 1):
+    for depth in itertools.count():
         kind = level.select("path", "v", _kind(F.col("v")).alias("bit"))
         found = kind.groupBy("path").agg(F.bit_or("bit").cast("long").alias("bits"), F.count("*").alias("present"), F.count_if(F.col("bit") == BIT["null"]).alias("nulls"), F.count_if(F.col("bit") == BIT["object"]).alias("objects")).withColumn("depth", F.lit(depth))
         out = found if out is None else out.unionByName(found)
@@ -72,6 +78,8 @@ def structure(frame: DataFrame, json_col: str, most_depth: int = 32) -> DataFram
             break
         inner.createOrReplaceTempView("loamgrid_level")
         level = frame.sparkSession.sql("SELECT path || CASE WHEN e.key IS NULL THEN '[]' ELSE '.' || e.key END AS path, e.value AS v FROM loamgrid_level, LATERAL variant_explode(v) AS e")
+        if depth % LEVELS == LEVELS - 1:
+            level, out = lineage.fixed(level), lineage.fixed(out)
     return out.select("path", "depth", "bits", "present", "nulls", "objects")
 
 

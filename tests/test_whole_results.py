@@ -9,7 +9,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from loamgrid.operators import files
+from loamgrid.operators import files, structure
 from loamgrid.plans import registry
 from tests.conftest import SF
 
@@ -72,3 +72,10 @@ def test_partition_by_size_over_documents(spark):
     assert {r.id: r.part for r in registry.QUERIES["partition_by_size"](spark, SF).collect()} == plan
     rows = spark.createDataFrame(lengths, "doc_id long, n long")
     assert {r.id: r.part for r in files.partition_by_size(rows, "doc_id", F.col("n"), capacity=20_000).collect()} == files.filled(lengths, 20_000)
+
+
+def test_structure_goes_to_the_deepest_path(spark):
+    deep = 35
+    rows = spark.createDataFrame([('{"a":' * deep + "1" + "}" * deep,)], "j string")
+    found = {r.path: r.depth for r in structure.structure(rows, "j").collect()}
+    assert found == {"$" + ".a" * k: k for k in range(deep + 1)}
