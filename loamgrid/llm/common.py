@@ -3,57 +3,33 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid import lineage
+
 #: Bytes of text handled at a time inside a worker.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (a
-    single machine, as in tests) a temporary folder takes its place.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loamgrid-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Written:
-    """A DataFrame written to the shared folder and read back: lineage ends there."""
-
-    def __init__(self, frame: DataFrame):
-        self.spark = frame.sparkSession
-        self.path = f"{shared_dir(self.spark)}/loamgrid-{uuid.uuid4().hex}"
-        frame.write.parquet(self.path)
-        self.frame = self.spark.read.schema(frame.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files; no later plan may read them."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(frame: DataFrame) -> DataFrame:
-    return Written(frame).frame
+    """The frame written to the shared folder and read back: lineage ends there."""
+    return lineage.fixed(frame)
 
 
 def buckets_for(frame: DataFrame, bytes_each: int, least: int = 32, most: int = 1 << 22) -> int:
-    """A bucket count that follows the plan's size estimate (file sizes for scans)."""
+    """A bucket count that follows the plan's size estimate (file sizes for scans).
+
+    A plan without an estimate is measured instead: one pass counts its bytes.
+    Beyond ``most`` buckets they grow with the input.
+    """
     size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 60:  # no estimate: an RDD or a local computation
-        size = least * bytes_each
+    if size > 1 << 60:
+        size = frame.agg(F.sum(8 + sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in frame.columns))).first()[0] or 0
     return max(least, min(most, -(-size // bytes_each)))
 
 
@@ -67,10 +43,6 @@ def texts(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[tuple]
             yield from zip(*(c.to_pylist() for c in columns), strict=True)
 
 
-def crc16(raw: bytes) -> int:
-    return zlib.crc32(raw) & 0xFFFF
-
-
 def slices(raw: bytes, separators: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
     """Cut a long text after separators, so that no token is split."""
     if len(raw) <= size:
@@ -145,20 +117,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-#: Rows of text that one Arrow batch may hold on its way to a worker.
-BATCH_ROWS = 1000
-
+def id_and_text(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Only the two columns an operator reads, under its own names; a null text is empty.
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows: ten thousand long texts would not fit beside a small heap."""
-    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if not 0 < rows <= BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    Spark bounds the bytes of an Arrow batch (64 MB), so long texts need no setting.
+    """
+    return frame.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def id_and_text(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns an operator reads, under its own names; a null text is empty."""
-    small_batches(frame.sparkSession)
-    return frame.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+def text_key(text: Column) -> Column:
+    """128 bits of a text, which tell apart rows that share an id or have none."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))

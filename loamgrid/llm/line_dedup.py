@@ -13,7 +13,6 @@ from . import common, windows
 _SPACE = b" \t\n\x0b\x0c\r"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 _OUT_DDL = "doc_id long, n_lines long, n_removed long, kept_text string"
-_NO_ID = (1 << 63) - 1
 
 
 def line_hashes(raw: bytes) -> np.ndarray:
@@ -48,18 +47,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     into one covered set and go.  Windows are judged on the input.
 
     A null or empty text has no lines and is returned as the empty text.  Rows
-    with a null id come after all others.  Identical repeated rows (same id and
-    text) are one document and are treated alike; rows with the same id and
-    different texts come in an arbitrary but fixed order.  Other columns of
-    ``docs`` are not read.
+    with a null id come after all others.  Identical repeated rows (same id, or
+    none, and same text) are one document and are treated alike; rows with the
+    same id, or none, and different texts come in the order of 64-bit hashes of
+    their texts.  Other columns of ``docs`` are not read.
     """
-    common.small_batches(docs.sparkSession)
     rest = F.to_json(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carry)))) if carry else F.lit("")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
 
-    def cut(doc_id: int, raw: bytes, at: np.ndarray | None) -> tuple:
+    def cut(doc_id: int | None, raw: bytes, at: np.ndarray | None) -> tuple:
         text, n, gone = cut_lines(raw, at, width)
-        return None if doc_id == _NO_ID else doc_id, n, gone, text.decode()
+        return doc_id, n, gone, text.decode()
 
     out = windows.without_repeats(rows, line_hashes, width, False, cut, _OUT, _OUT_DDL)
     if not carry:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,10 +27,6 @@ def word_hashes(raw: bytes) -> np.ndarray:
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 _OUT_DDL = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string"
-#: Stands for a null id: null ids come last.
-_NO_ID = (1 << 63) - 1
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
     """Remove every word covered by a ``width``-word window that also starts in a document with a smaller id.
 
@@ -40,20 +38,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removals.  A null or empty text has no words; one shorter than ``width``
     loses nothing.  Rows with a null id count as coming after all others and
     have no smaller one among themselves.  Rows that share an id never remove
-    words from each other, so repeated rows all stay as they are.  Other columns
-    of ``docs`` are not read.  Two windows are taken as equal if 56 bits of one
-    rolling hash and the bucket chosen by another agree: of the millions of
-    windows in a bucket one differs unnoticed about once in 10^10.
+    words from each other, whether their texts are equal or not; each is judged
+    against the smaller ids on its own.  Other columns of ``docs`` are not read.
+    Two windows are taken as equal if 56 bits of one rolling hash and the bucket
+    chosen by another agree: of the millions of windows in a bucket one differs
+    unnoticed about once in 10^10.
     """
-    rows = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-
-    def cut(doc_id: int, raw: bytes, at: np.ndarray | None) -> tuple:
-        words = [w for piece in common.slices(raw, SPACE) for w in piece.split()]
-        n, gone, spans = len(words), 0, []
-        if at is not None:
-            mask = windows.covered(n, at, width)
-            gone, spans = int(mask.sum()), windows.intervals(mask)
-            words = [w for w, out in zip(words, mask.tolist(), strict=True) if not out]
-        return None if doc_id == _NO_ID else doc_id, n, gone, [{"start": a, "end": b} for a, b in spans], b" ".join(words).decode()
+    rows = common.id_and_text(docs, id_col, text_col)
+
+    def cut(doc_id: int | None, raw: bytes, at: np.ndarray | None) -> tuple:
+        pieces = list(common.slices(raw, SPACE))
+        sizes = [len(piece.split()) for piece in pieces]
+        mask = np.zeros(sum(sizes), bool) if at is None else windows.covered(sum(sizes), at, width)
+        kept, begin = [], 0
+        for piece, size in zip(pieces, sizes, strict=True):
+            gone = mask[begin : begin + size]
+            begin += size
+            if not gone.all():
+                kept.append(b" ".join(itertools.compress(piece.split(), (~gone).tolist())))
+        return doc_id, len(mask), int(mask.sum()), [{"start": a, "end": b} for a, b in windows.intervals(mask)], b" ".join(kept).decode()
 
     return windows.without_repeats(rows.withColumn("rest", F.lit("")), word_hashes, width, True, cut, _OUT, _OUT_DDL).drop("rest")
