@@ -12,13 +12,17 @@ the others.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KINDS = ("email", "ip", "card", "phone")
 
 # A run is entered at its start or where the last match ended, and never given
@@ -58,25 +62,63 @@ CUES = {
 }
 AGAINST = "version|order|isbn|figure|serial|part no|item|invoice|token|hash"
 
+#: Matches whose places are summed up together; a text's places cost time in proportion to its matches.
+CHUNK = 512
 _SPAN = "array<struct<start: int, end: int, hit: string, before: string, after: string>>"
 
 
-def _find(text: Column, pattern: str, first: Column) -> Column:
-    """All matches with their places (code points) and surroundings.
-
-    What split() leaves between the matches gives their places by running sums.
-    """
+def _matches(text: Column, pattern: str, first: Column) -> tuple[Column, Column]:
+    """All matches, and of the stretches between them the size in code points, the end and the first character."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    rows = F.zip_with(F.arrays_zip(gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next")), hits, lambda g, h: F.struct(g["gap"].alias("gap"), g["next"].alias("next"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    around = F.transform(gaps, lambda g: F.struct(F.char_length(g).alias("size"), F.right(g, F.lit(28)).alias("before"), F.left(g, F.lit(1)).alias("after")))
+    return F.when(first, hits), F.when(first, around)
+
+
+def _rows(hits: Column, around: Column) -> Column:
+    """A row for each match; none for a text without matches."""
+    met = F.zip_with(hits, F.slice(around, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g["size"].alias("size"), g["before"].alias("before")))
+    return F.when(F.size(hits) > 0, F.zip_with(met, F.slice(around, F.lit(2), F.size(hits)), lambda m, g: m.withField("after", g["after"])))
+
+
+def _chunks(rows: Column, keep: Callable[[Column], Column]) -> Column:
+    """For each CHUNK matches their length with the stretches before them, and the spans kept, from the chunk's start."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + F.char_length(row["gap"])
+        begin = state["at"] + row["size"]
         end = begin + F.char_length(row["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), row["hit"].alias("hit"), F.right(row["gap"], F.lit(28)).alias("before"), F.left(row["next"], F.lit(1)).alias("after"))
-        return F.when(row["hit"].isNull(), state).otherwise(F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out")))
+        span = F.struct(begin.alias("start"), end.alias("end"), row["hit"].alias("hit"), row["before"].alias("before"), row["after"].alias("after"))
+        return F.struct(end.alias("at"), F.when(keep(row["hit"]), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda k: F.aggregate(F.slice(rows, k * CHUNK + 1, F.lit(CHUNK)), none, step))
 
-    return F.when(first, F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+
+def _bases(chunks: Column) -> Column:
+    """Where each chunk begins."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(chunks, none, lambda state, c: F.struct((state["at"] + c["at"]).alias("at"), F.array_append(state["out"], state["at"]).alias("out")))["out"]
+
+
+def _spans(chunks: Column, bases: Column) -> Column:
+    moved = F.zip_with(chunks, bases, lambda c, b: F.transform(c["out"], lambda s: s.withField("start", s["start"] + b).withField("end", s["end"] + b)))
+    return F.coalesce(F.flatten(moved), F.array().cast(_SPAN))
+
+
+def with_spans(rows: DataFrame, text: str, searches: Mapping[str, tuple[str, Callable, Callable]]) -> DataFrame:
+    """Add a column of spans for each name's (pattern, cheap test of the text, test of a match).
+
+    Places are code points.  Each step is a projection of its own: what it reads
+    more than once must not be computed more than once.
+    """
+    own = rows.columns
+    for name, (pattern, first, _) in searches.items():
+        hits, around = _matches(F.col(text), pattern, first(F.col(text)))
+        rows = rows.withColumns({f"__hits_{name}": hits, f"__around_{name}": around})
+    columns = lambda make: [*own, *(make(name).alias(f"__{name}") for name in searches)]
+    rows = rows.select(columns(lambda name: _rows(F.col(f"__hits_{name}"), F.col(f"__around_{name}"))))
+    rows = rows.select(columns(lambda name: _chunks(F.col(f"__{name}"), searches[name][2])))
+    rows = rows.select(*own, *(f"__{name}" for name in searches), *(_bases(F.col(f"__{name}")).alias(f"__base_{name}") for name in searches))
+    return rows.select(*own, *(_spans(F.col(f"__{name}"), F.col(f"__base_{name}")).alias(name) for name in searches))
 
 
 def _digits(hit: Column) -> Column:
@@ -110,23 +152,11 @@ def _valid(kind: str, hit: Column) -> Column:
     return _luhn(_digits(hit)) if kind == "card" else F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    spans = F.filter(_find(text, STRICT[kind], _FIRST[kind](text)), lambda s: _long_enough(kind, s["hit"]))
-    return F.filter(spans, lambda s: _valid(kind, s["hit"]))
-
-
-def loose_spans(text: Column, kind: str) -> Column:
-    if kind == "card":
-        spans = F.filter(_find(text, STRICT[kind], _FIRST[kind](text)), lambda s: _long_enough(kind, s["hit"]))
-        return F.filter(spans, lambda s: ~_valid(kind, s["hit"]))
-    return _find(text, LOOSE[kind], _FIRST_LOOSE[kind](text))
-
-
-def votes(kind: str, span: Column, strict: bool) -> list[Column]:
-    """The labelers' votes (1, 0, -1) on a candidate span."""
+def votes(kind: str, span: Column, base: Column) -> list[Column]:
+    """The labelers' votes (1, 0, -1) on a candidate span; ``base`` if the strict pattern found it and it counts."""
     hit, before, after = span["hit"], F.lower(span["before"]), F.coalesce(span["after"], F.lit(""))
     yes = lambda c: F.when(c, 1).otherwise(-1)
-    regex = F.lit(1 if strict else -1 if kind == "card" else 0)
+    regex = F.when(base, 1).otherwise(-1 if kind == "card" else 0)
     if kind == "email":
         gazetteer = yes(F.lower(hit).rlike(rf"[.)\]] ?(?:{'|'.join(DOMAINS)})$"))
     elif kind == "ip":
@@ -187,15 +217,37 @@ def train_classifier(patterns: np.ndarray, counts: np.ndarray, belief: np.ndarra
     return w.tolist()
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """Count the vote patterns of all candidates in all texts and fit the span classifier.
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, email, ip, card, phone), one row per input row: each kind's candidate spans, by their places, with their votes.
 
-    At most 3^4 patterns of a kind reach the driver.
+    A span is struct<start, end, base, v0, v1, v2, v3>; ``base`` tells that the
+    strict pattern found it and that it counts.  One pass over the texts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cast = lambda kind, strict: lambda s: F.struct(F.lit(kind).alias("kind"), *(v.cast("int").alias(f"v{k}") for k, v in enumerate(votes(kind, s, strict))))
-    every = F.concat(*(F.transform(find(F.col("t"), kind), cast(kind, strict)) for kind in KINDS for find, strict in ((base_spans, True), (loose_spans, False))))
-    counted = docs.select(text.alias("t")).filter(F.col("t").rlike(r"[0-9@]|(?i)[(\[]at[)\]]")).select(F.explode(every).alias("c")).groupBy("c").count().select("c.*", "count").collect()
+    searches = {f"strict_{kind}": (STRICT[kind], _FIRST[kind], lambda hit, kind=kind: _long_enough(kind, hit)) for kind in KINDS}
+    searches |= {f"loose_{kind}": (pattern, _FIRST_LOOSE[kind], lambda hit: F.lit(True)) for kind, pattern in LOOSE.items()}
+    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), text.alias("__text")), "__text", searches)
+
+    def judged(kind: str, s: Column, base: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), *(v.cast("int").alias(f"v{k}") for k, v in enumerate(votes(kind, s, base))))
+
+    def both(kind: str) -> Column:
+        strict = F.transform(F.col(f"strict_{kind}"), lambda s: judged(kind, s, _valid(kind, s["hit"])))
+        if kind == "card":  # a match of the right length that fails Luhn is still a candidate
+            return strict
+        return F.array_sort(F.concat(F.filter(strict, lambda s: s["base"]), F.transform(F.col(f"loose_{kind}"), lambda s: judged(kind, s, F.lit(False)))))
+
+    return found.select("doc_id", *(both(kind).alias(kind) for kind in KINDS))
+
+
+def learn(found: DataFrame) -> SpanModel:
+    """Count the vote patterns of all candidates and fit the span classifier.
+
+    At most 3^4 patterns of a kind reach the driver.
+    """
+    cast = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), *(s[f"v{k}"].alias(f"v{k}") for k in range(4)))
+    every = F.concat(*(F.transform(F.col(kind), cast(kind)) for kind in KINDS))
+    counted = found.select(F.explode(every).alias("c")).groupBy("c").count().select("c.*", "count").collect()
     weights = {}
     for kind in KINDS:
         rows = sorted(tuple(r)[1:] for r in counted if r[0] == kind)
@@ -206,30 +258,35 @@ def learn(docs: DataFrame, text_col: str = "text") -> SpanModel:
 
 
 def find_pii(docs: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Personal data of every text: (doc_id, text, base, added), one row per input row.
+    """Personal data of every text: (doc_id, base, added, n_email, n_ip, n_card, n_phone), one row per input row.
 
     ``base`` and ``added`` are arrays of struct<kind, start, end>, in the order
     of KINDS and then of start; places are code points, the end exclusive.
     ``base`` are the strict patterns' spans that count; ``added`` those of the
     other candidates which the model (learned from ``docs`` if None) scores at
-    one half or more and which meet no base span of their kind.
+    one half or more and which meet no base span of their kind.  The texts are
+    searched once: candidates and votes are written to the shared folder, then
+    counted for the model and scored by it.
 
     A null or empty text has no spans.  Null ids and repeated rows are kept, each
     with its row.  Other columns of ``docs`` are not read.
     """
-    model = model or learn(docs, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = common.written(candidates(docs, id_col, text_col))
+    model = model or learn(found)
     plain = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    for kind in KINDS:
-        rows = rows.withColumn(f"b_{kind}", F.transform(base_spans(F.col("text"), kind), plain(kind)))
+
+    def met(kind: str, s: Column, k: Column) -> Column:
+        # by digits and brackets a base span meets two others of its kind at most, so none stands further off in the order
+        near = (F.get(kind, k + step) for step in (-2, -1, 1, 2))
+        return functools.reduce(Column.__or__, (F.coalesce(b["base"] & (b["start"] < s["end"]) & (s["start"] < b["end"]), F.lit(False)) for b in near))
 
     def wanted(kind: str) -> Column:
-        apart = lambda s: ~F.exists(F.col(f"b_{kind}"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        good = F.filter(loose_spans(F.col("text"), kind), lambda s: (model.score(kind, votes(kind, s, False)) >= 0) & apart(s))
-        return F.transform(good, plain(kind))
+        good = lambda s, k: ~s["base"] & (model.score(kind, [s[f"v{n}"] for n in range(4)]) >= 0) & ~met(kind, s, k)
+        return F.transform(F.filter(kind, good), plain(kind))
 
-    base = F.concat(*(F.col(f"b_{kind}") for kind in KINDS))
-    return rows.select("doc_id", "text", base.alias("base"), F.concat(*map(wanted, KINDS)).alias("added"), *(F.size(f"b_{kind}").cast("long").alias(f"n_{kind}") for kind in KINDS))
+    certain = {kind: F.filter(kind, lambda s: s["base"]) for kind in KINDS}
+    base = F.concat(*(F.transform(spans, plain(kind)) for kind, spans in certain.items()))
+    return found.select("doc_id", base.alias("base"), F.concat(*map(wanted, KINDS)).alias("added"), *(F.size(spans).cast("long").alias(f"n_{kind}") for kind, spans in certain.items()))
 
 
 def joined(spans: Column) -> Column:

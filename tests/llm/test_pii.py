@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,6 +55,98 @@ def test_strict_spans(spark, model):
         assert [rows[k][f"n_{kind}"] for kind in pii.KINDS] == [sum(w.startswith(kind) for w in want) for kind in pii.KINDS]
 
 
+def test_places_of_more_matches_than_a_chunk_holds(spark, model, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    test_strict_spans(spark, model)
+
+
+def test_time_grows_with_the_text(spark, model):
+    numbers = " x".join(str(k) for k in range(100_000, 300_000))
+    cards = ", ".join(["4111 1111 1111 1111"] * 20_000)
+    frame = spark.createDataFrame([(1, numbers + " x4111111111111111"), (2, cards), (3, "+1 234 567 8901; 234-567-8901; " * 20_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    out = {r.doc_id: r for r in pii.find_pii(frame, model).collect()}
+    assert time.perf_counter() - began < 60
+    assert [(s.start, s.end) for s in out[1].base] == [(len(numbers) + 2, len(numbers) + 18)]
+    assert out[2].n_card == 20_000 and out[2].base[-1].end == len(cards)
+    assert out[3].n_phone == 20_000 and len(out[3].added) == 20_000
+
+
+def found_by(pattern: str, text: str) -> list[tuple[int, int, int, str]]:
+    """Matches with the end of the match before and the character after; none if another match follows at once."""
+    at = [m.span() for m in re.finditer(pattern, text)]
+    return [(a, b, gap, "" if b in {x for x, _ in at} else text[b : b + 1]) for (a, b), gap in zip(at, [0, *(b for _, b in at)], strict=False)]
+
+
+def vote(kind: str, text: str, span: tuple[int, int, int, str], base: bool) -> tuple[int, ...]:
+    """The labelers in plain Python."""
+    start, end, gap, after = span
+    hit, before = text[start:end], text[max(gap, start - 28) : start].lower()
+    digits = re.sub("[^0-9]", "", hit)
+    yes = lambda x: 1 if x else -1
+    known = {
+        "email": lambda: re.search(rf"[.)\]] ?(?:{'|'.join(pii.DOMAINS)})$", hit.lower()), "ip": lambda: not re.search(pii.LOCAL_NETS, hit.replace("[", "").replace("]", "")), "card": lambda: re.search(pii.ISSUERS, digits),
+        "phone": lambda: re.search(pii.CALLING_CODES, hit) if hit[0] == "+" else digits[0] >= "2",
+    }[kind]()
+    context = 1 if re.search(rf"\b(?:{pii.CUES[kind]})", before) else -1 if re.search(rf"\b(?:{pii.AGAINST})", before) else 0
+    apart = (not before or before[-1] in " \t\n([<\"':;,|") and (not after or after in " \t\n)]>\"':;,.!?|")
+    return (1 if base else -1 if kind == "card" else 0), yes(known), context, yes(apart)
+
+
+def brute_candidates(text: str) -> dict[str, list[tuple]]:
+    """(start, end, base, votes) of each kind."""
+    out = {}
+    for kind in pii.KINDS:
+        good = {s for s in brute(text) if s.startswith(kind)}
+        rows = []
+        for span in found_by("[0-9]+(?:[ -][0-9]+)*" if kind == "card" else BASE[kind], text):
+            a, b = span[:2]
+            base = f"{kind}:{a}:{b}" in good
+            if base or kind == "card" and 13 <= len(re.sub("[^0-9]", "", text[a:b])) <= 19:
+                rows.append((a, b, base, vote(kind, text, span, base)))
+        if kind != "card":
+            rows += [(*span[:2], False, vote(kind, text, span, False)) for span in found_by(pii.LOOSE[kind].replace("(?i:at)", "(?:[aA][tT])").replace("(?i:dot)", "(?:[dD][oO][tT])"), text)]
+        out[kind] = sorted(rows)
+    return out
+
+
+def brute_spans(texts: list[str]) -> tuple[list[str], dict]:
+    """All spans of each text, with the classifier learned from all of them."""
+    found, weights = [brute_candidates(t) for t in texts], {}
+    for kind in pii.KINDS:
+        counts = Counter(v for f in found for *_, v in f[kind])
+        if counts:
+            patterns = sorted(counts)
+            n = np.array([counts[p] for p in patterns], float)
+            weights[kind] = pii.train_classifier(np.array(patterns), n, pii.expectation_maximisation(np.array(patterns), n))
+    out = []
+    for f in found:
+        spans = []
+        for kind in pii.KINDS:
+            base = [r for r in f[kind] if r[2]]
+            w = weights.get(kind)
+            score = lambda v, w=w: w[-1] + sum(w[2 * k] if x == 1 else w[2 * k + 1] if x == -1 else 0 for k, x in enumerate(v))
+            added = [r for r in f[kind] if not r[2] and score(r[3]) >= 0 and not any(b[0] < r[1] and r[0] < b[1] for b in base)]
+            spans += [f"{kind}:{a}:{b}" for a, b, *_ in sorted(base + added)]
+        out.append(",".join(spans))
+    return out, weights
+
+
+def test_all_spans_against_brute_force(spark):
+    rng = random.Random(5)
+    parts = [
+        "mail jo@site.com", "write to jo (at) site.com", "jo[at]site [dot] org", "x@y.z(at)q.com", "10.0.0.1", "host 8.8.8.8,", "8[.]8[.]8[.]8", "1.2.3.4[.]5[.]6[.]7", "card 4111 1111 1111 1111", "4111111111111112", "order 9999 9999 9999 9999",
+        "call 555-123-4567", "(555) 123-4567", "+1 234 567 8901", "+49 30 1234567 555-123-4567", "555-123-4567+15551234567", "version 1.2.3.4", "Tel: +331 23 45 67 89 10", "é ß", "serial 123-456-7890x",
+    ]
+    texts = [rng.choice([" ", ", ", "\n", ""]).join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, weights = brute_spans(texts)
+    model = pii.learn(pii.candidates(frame))
+    assert {k: np.round(w, 6).tolist() for k, w in model.weights.items()} == {k: np.round(w, 6).tolist() for k, w in weights.items()}
+    out = {r.doc_id: r.s for r in pii.find_pii(frame).select("doc_id", pii.joined(pii.in_order(F.concat("base", "added"))).alias("s")).collect()}
+    assert [out[k] for k in range(len(texts))] == want and any(len(w.split(",")) > len(brute(t)) for w, t in zip(want, texts, strict=True))
+
+
 def test_odd_rows(spark):
     frame = spark.createDataFrame([(1, None), (None, "a@b.com"), (2, "a@b.com"), (2, "a@b.com")], "doc_id long, text string")
     out = pii.find_pii(frame).select("doc_id", pii.joined(pii.in_order(F.concat("base", "added"))).alias("s")).collect()
