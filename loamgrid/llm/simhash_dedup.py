@@ -18,12 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid import lineage
+
 from . import common
 from .components import connected_components
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHINGLE = 3
 SEED = 42
+#: Fingerprints of one anchor that a task compares; longer runs are split into blocks of so many, met two by two.
+RUN = 8192
 #: Entries (fingerprint under an anchor) that a bucket is meant to hold.
 BUCKET_ENTRIES = 1 << 20
 
@@ -83,6 +87,12 @@ def anchors(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(there)[0], near[there]
 
 
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    label = common.local_components(n, left, right)
+    left = np.flatnonzero(label != np.arange(n))
+    return left, label[left]
+
+
 def links(keys: np.ndarray, prints: np.ndarray, most_bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """A forest over the fingerprints that meet under a key and differ in few bits.
 
@@ -101,17 +111,31 @@ def links(keys: np.ndarray, prints: np.ndarray, most_bits: int = 3) -> tuple[np.
         near = at[np.bitwise_count(prints[at] ^ prints[at + k]) <= most_bits]
         left, right = np.append(left, node[near]), np.append(right, node[near + k])
         if len(left) > 2 * len(nodes) + 100_000:
-            label = common.local_components(len(nodes), left, right)
-            left = np.flatnonzero(label != np.arange(len(nodes)))
-            right = label[left]
+            left, right = _forest(len(nodes), left, right)
         k += 1
-    label = common.local_components(len(nodes), left, right)
-    left = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[left], nodes[label[left]]
+    left, right = _forest(len(nodes), left, right)
+    return nodes[left], nodes[right]
+
+
+def links_across(a: np.ndarray, b: np.ndarray, most_bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the fingerprints of two blocks that differ in few bits."""
+    nodes, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+    own, other = node[: len(a)], node[len(a) :]
+    left, right = np.empty(0, np.int64), np.empty(0, np.int64)
+    for start in range(0, len(a), 128):
+        i, j = np.nonzero(np.bitwise_count(a[start : start + 128, None] ^ b[None, :]) <= most_bits)
+        left, right = np.append(left, own[start + i]), np.append(right, other[j])
+        if len(left) > 2 * len(nodes) + 100_000:
+            left, right = _forest(len(nodes), left, right)
+    left, right = _forest(len(nodes), left, right)
+    return nodes[left], nodes[right]
 
 
 _CELLS = pa.schema([("bucket", pa.int64()), ("half", pa.int32()), ("prints", pa.binary()), ("anchors", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Links, and the blocks of runs too long for one task: the run's bucket, half and anchor, a block's number and how many there are.
+_FOUND = pa.schema([*_LINKS, ("anchor", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("prints", pa.binary())])
+_FOUND_DDL = "a long, b long, anchor long, block int, blocks int, prints binary"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,11 +169,28 @@ def near_links(prints: DataFrame) -> DataFrame:
 
     def compare(group: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(a, "<u4").astype(np.uint64) + np.uint64(h << 32) for a, h in zip(group["anchors"].to_pylist(), group["half"].to_pylist(), strict=True)])
-        a, b = links(keys, np.concatenate([np.frombuffer(x, np.uint64) for x in group["prints"].to_pylist()]))
+        own = np.concatenate([np.frombuffer(x, np.uint64) for x in group["prints"].to_pylist()])
+        runs, run, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+        short = (sizes <= RUN)[run]
+        a, b = links(keys[short], own[short])
+        rows = [(int(x), int(y), None, None, None, None) for x, y in zip(a.view(np.int64), b.view(np.int64), strict=True)]
+        for k in np.flatnonzero(sizes > RUN).tolist():
+            there, n = own[run == k], -(-int(sizes[k]) // RUN)
+            rows += [(None, None, int(runs[k]), block, n, there[block::n].tobytes()) for block in range(n)]
+        return pa.Table.from_batches(list(common.batches(rows, _FOUND)), _FOUND)
+
+    def meet(group: pa.Table) -> pa.Table:
+        one = {k: np.frombuffer(x, np.uint64) for k, x in zip(group["block"].to_pylist(), group["prints"].to_pylist(), strict=True)}
+        a, b = links_across(one[min(one)], one[max(one)])
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=_LINKS)
 
     cells = prints.select("fp").mapInArrow(spread, "bucket long, half int, prints binary, anchors binary")
-    return cells.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    found = common.written(cells.groupBy("bucket").applyInArrow(compare, _FOUND_DDL))
+    # a block meets every block of its run: x before it as (x, own), itself and y after it as (own, y)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
+    long_runs = found.filter("anchor IS NOT NULL").repartition("anchor", "block").select("anchor", "block", "prints", F.explode(pairs).alias("pair"))
+    across = long_runs.groupBy("anchor", "pair").applyInArrow(meet, "a long, b long")
+    return found.filter("a IS NOT NULL").select("a", "b").unionByName(across)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,10 +205,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a null id take part; a group of such rows alone has a null component_id.
     Repeated rows are grouped together.  Other columns of ``docs`` are not read.
     """
-    rows = common.written(fingerprints(docs, id_col, text_col))
-    nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(near_links(nodes))
-    named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = common.written(named)
+    with lineage.scope():
+        rows = lineage.Table(fingerprints(docs, id_col, text_col)).keep()
+        nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        labels = connected_components(near_links(nodes))
+        named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+        named = lineage.Table(named).keep()
     groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(groups, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

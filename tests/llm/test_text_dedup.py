@@ -186,7 +186,9 @@ def components(n, links):
     return [find(k) for k in range(n)]
 
 
-def test_near_links_are_complete(spark):
+@pytest.mark.parametrize("run", [8192, 3])
+def test_near_links_are_complete(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash_dedup, "RUN", run)  # short runs are compared at once, long ones in pairs of blocks
     rng = random.Random(4)
     prints = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(160):
@@ -196,13 +198,34 @@ def test_near_links_are_complete(spark):
         prints.append(p)
     prints = list(dict.fromkeys([0, *prints, (1 << 64) - 1]))
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    edges = simhash_dedup.near_links(spark.createDataFrame(signed, "fp long"))
+    edges = simhash_dedup.near_links(spark.createDataFrame(signed, "fp long").repartition(3))
     at = {p[0]: k for k, p in enumerate(signed)}
     found = [(at[r.a], at[r.b]) for r in edges.collect()]
     brute = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
     assert components(len(prints), found) == components(len(prints), brute)
 
 
+def test_simhash_of_whole_corpora_against_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    bases = [rng.choices(words, k=rng.randint(60, 200)) for _ in range(25)]
+    texts = []
+    for _ in range(220):
+        own = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    rows = [(k * 7 % 225, t) for k, t in enumerate([*texts, None, "", "one", "one two"])]
+    prints = [brute_print(t) for _, t in rows]
+    label = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    least: dict[int, int] = {}
+    for (i, _), c in zip(rows, label, strict=True):
+        least[c] = min(least.get(c, i), i)
+    want = sorted((i, p, least[c]) for (i, _), p, c in zip(rows, prints, label, strict=True))
+    got = sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash_dedup.simhash_dedup(frame(spark, rows).repartition(4)).collect())
+    assert got == want and len(set(label)) < 0.7 * len(rows)
+
+
 def test_simhash_groups(spark):
     rows = [(5, "a b c d"), (3, "A b C d"), (9, None), (7, ""), (None, "a b c d"), (None, "alone in the whole wide world"), (11, "nothing like the others at all here"), (11, "nothing like the others at all here")]
     out = simhash_dedup.simhash_dedup(frame(spark, rows))
