@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Documents that a bucket of a leaf's order is meant to hold.
+from loamgrid import lineage
+
+from . import common
+
+#: Documents that a bucket of a leaf's order is meant to hold, and buckets whose sums are run through together.
 BUCKET_DOCS = 1024
+RUN_BUCKETS = 1024
 #: Parts among which a leaf's documents are dealt to meet its budget.
 SALTS = 32
 #: Names the value of a null level.
@@ -64,7 +69,7 @@ def leaf_budgets(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping
 
 
 def mix_sources(
-    docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], percent: int = 100, most_epochs: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, int]], percent: int = 100, most_epochs: int = 4, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Choose documents so that the sources' tokens meet target weights.
 
@@ -78,8 +83,9 @@ def mix_sources(
 
     A leaf with budget b and t tokens takes all documents b div t times and, of
     the next epoch, the longest prefix within what remains.  Epoch e's order is by
-    md5(seed:e:id).  Returns (doc_id, domain, lang, source, n_tokens, copies), one
-    row per input row; copies is 0 for documents left out.
+    md5(seed:e:id).  Returns (doc_id, domain, lang, source, n_tokens, copies) and
+    the columns named in ``carry``, one row per input row; copies is 0 for
+    documents left out.  The texts are read once, to count their tokens.
 
     Null domains, languages and sources are named "(none)".  A null or empty text
     has no tokens: it costs nothing and is in each prefix that reaches it; a leaf
@@ -87,25 +93,39 @@ def mix_sources(
     that repeat an id are ordered by their tokens.  Other columns of ``docs`` are
     not read.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(domain, F.lit(NONE)).alias("domain"), F.coalesce(F.col(lang_col), F.lit(NONE)).alias("lang"), F.coalesce(F.col(source_col), F.lit(NONE)).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"),
-    )
-    leaf = ["domain", "lang", "source"]
-    leaves = rows.groupBy(*leaf).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
-    budgets = leaf_budgets(leaves, F.expr(f"supply * {int(percent)} div 100"), weights, most_epochs)
+    carried = {f"c{k}": c for k, c in enumerate(carry)}
+    with lineage.scope():
+        rows = lineage.Table(docs.select(
+            F.col(id_col).alias("doc_id"), F.coalesce(domain, F.lit(NONE)).alias("domain"), F.coalesce(F.col(lang_col), F.lit(NONE)).alias("lang"), F.coalesce(F.col(source_col), F.lit(NONE)).alias("source"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"), *(F.col(c).alias(k) for k, c in carried.items()),
+        )).keep()
+        leaf = ["domain", "lang", "source"]
+        leaves = common.written(rows.groupBy(*leaf).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")))
+        budgets = lineage.Table(leaf_budgets(leaves, F.expr(f"supply * {int(percent)} div 100"), weights, most_epochs)).keep()
     epochs = F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 0 END")
     left = F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE -1 END")
     parts = F.ceil(F.col("n_docs") / BUCKET_DOCS)
     plan = budgets.select(*leaf, epochs.alias("epochs"), left.alias("left"), parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(plan, [*leaf, "salt"]).withColumn("key", key)
-    # the leading six digits of the order's key deal a leaf's documents into ranges of it
-    dealt = dealt.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * F.col("parts") / (1 << 24)))
-    sums = dealt.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    earlier = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*leaf, "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("base"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")).join(plan, [*leaf, "salt"]).withColumn("key", key)
+    # the leading digits of the order's key deal a leaf's documents into ranges of it
+    dealt = dealt.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 10), 16, 10).cast("long") * F.col("parts") / (1 << 40)))
+    base = bucket_bases(dealt.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("in_bucket")), leaf)
     inside = Window.partitionBy(*leaf, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = dealt.withColumn("run", F.sum("n_tokens").over(inside)).join(sums, [*leaf, "bucket"])
+    run = dealt.withColumn("run", F.sum("n_tokens").over(inside)).join(base, [*leaf, "bucket"])
     taken = F.when(F.col("base") + F.col("run") <= F.col("left"), 1).otherwise(0)
-    return run.select("doc_id", *leaf, "n_tokens", (F.col("epochs") + taken).cast("long").alias("copies"))
+    return run.select("doc_id", *leaf, "n_tokens", (F.col("epochs") + taken).cast("long").alias("copies"), *(F.col(k).alias(c) for k, c in carried.items()))
+
+
+def bucket_bases(sums: DataFrame, leaf: list[str]) -> DataFrame:
+    """(leaf, bucket, base): the tokens of a leaf's earlier buckets, from (leaf, bucket, in_bucket).
+
+    Summed in two levels: a task runs through RUN_BUCKETS buckets, then through
+    the sums of so many, not through all buckets of a large leaf.
+    """
+    sums = sums.withColumn("group", F.floor(F.col("bucket") / RUN_BUCKETS))
+    before = lambda *by: Window.partitionBy(*leaf, *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy(*leaf, "group").agg(F.sum("in_bucket").alias("in_group"))
+    groups = groups.select(*leaf, "group", F.coalesce(F.sum("in_group").over(before("group")), F.lit(0)).alias("of_groups"))
+    inside = sums.select(*leaf, "bucket", "group", F.coalesce(F.sum("in_bucket").over(before("group", "bucket")), F.lit(0)).alias("of_buckets"))
+    return inside.join(groups, [*leaf, "group"]).select(*leaf, "bucket", (F.col("of_groups") + F.col("of_buckets")).alias("base"))

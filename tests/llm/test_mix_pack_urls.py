@@ -68,6 +68,18 @@ def test_mixing_against_brute_force(spark, percent, epochs):
     assert mixing.mix_sources(frame.limit(0), F.col("capacity"), weights).count() == 0
 
 
+def test_sums_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_BUCKETS", 4)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 2)
+    test_mixing_against_brute_force(spark, 60, 1)
+
+
+def test_other_columns_are_carried(spark):
+    frame = spark.createDataFrame([(1, "w w", "en", "a", 7), (2, "w", "en", "a", None)], "doc_id long, text string, lang string, source string, n int")
+    out = mixing.mix_sources(frame, F.lit("x"), {}, carry=("n", "text"))
+    assert {(r.doc_id, r.n, r.text, r.copies) for r in out.collect()} == {(1, 7, "w w", 1), (2, None, "w", 1)}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     rows = [(k, "w " * 100, "en", s, d) for k, (s, d) in enumerate([("small", "x")] * 1 + [("large", "x")] * 50 + [("other", "y")] * 50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string")
