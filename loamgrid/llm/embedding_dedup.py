@@ -6,31 +6,48 @@ the first's value.  Two unit vectors of cosine c are at distance
 d = sqrt(2 - 2c); along m orthonormal directions their differences' squares sum
 up to d^2 at most, so fewer than d^2 / w^2 directions can differ by more than w.
 With the window w = d / sqrt(q m) less than q m of m collisions can be missing:
-a pair with at least m - q m collisions is verified, and recall is one by
-construction rather than by chance.
+a pair with at least m - q m collisions is verified, and no such pair is missed.
+
+That count is taken among the vectors of a cell.  A label of up to WHOLE vectors
+is one cell.  A larger one is dealt into cells by several tables: each table cuts
+``depth`` sorted projections of its own into ranges, and a cell is one range of
+each.  Pairs at the least cosine are calibrated to share a cell in some table
+with probability RECALL, closer pairs with more.  A pair that shares several is
+counted in the first.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid import lineage
+
 from . import common
-from .components import connected_components
+from .components import anew, connected_components
 
-#: Vectors in a block; blocks of one label are compared two by two.
+#: Vectors in a block; blocks of one cell are compared two by two.
 BLOCK = 1024
+#: Vectors of a label that are one cell.
+WHOLE = 16 * BLOCK
+#: Probability that a pair at the least cosine meets in some table; the rest is the method's only loss.
+RECALL = 1 - 1e-6
+#: A range of a sorted projection is so many times as wide as a pair at the least cosine differs there, in the root mean square.
+RANGE = 5.0
 #: Share of collisions that a pair may miss.
 MISSING = 0.25
 #: Queries counted together.
 QUERIES = 128
 
-_FOUND = pa.schema([("vec_id", pa.int64()), ("n_links", pa.int64()), ("least", pa.int64())])
+_FOUND = pa.schema([("node", pa.string()), ("n_links", pa.int64()), ("least", pa.string())])
+_CELLS = pa.schema([("node", pa.string()), ("tables", pa.list_(pa.int32()))])
 
 
 def directions(width: int, most: int = 32, seed: int = 17) -> np.ndarray:
@@ -44,7 +61,8 @@ class Projections:
 
     def __init__(self, values: np.ndarray, queries: np.ndarray, window: float):
         n, m = values.shape
-        self.rank, self.low, self.wide = np.empty((m, n), np.uint16), np.empty((m, len(queries)), np.uint16), np.empty((m, len(queries)), np.uint16)
+        kind = np.uint16 if n < 1 << 16 else np.uint32  # unsigned: see collisions()
+        self.rank, self.low, self.wide = np.empty((m, n), kind), np.empty((m, len(queries)), kind), np.empty((m, len(queries)), kind)
         for k in range(m):
             order = np.argsort(values[:, k], kind="stable")
             self.rank[k, order] = np.arange(n)
@@ -86,34 +104,108 @@ def pairs_within(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iter
             yield x[near], y[near]
 
 
-def compare(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vec_id, links, smallest linked id in these blocks) of two blocks or one with itself."""
-    ids = left[0] if right is None else np.concatenate([left[0], right[0]])
-    shift = 0 if right is None else len(left[0])
-    n_links, a, b = np.zeros(len(ids), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    for i, j in pairs_within(left[1], left[1] if right is None else right[1], least, right is None):
-        j = j + shift
-        n_links += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-        a, b = np.append(a, i), np.append(b, j)
-        if len(a) > 1 << 20:
-            label = common.local_components(len(ids), a, b)
-            a = np.flatnonzero(label != np.arange(len(ids)))
-            b = label[a]
-    label = common.local_components(len(ids), a, b)
-    smallest = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, label, ids)
-    linked = n_links > 0
-    return ids[linked], n_links[linked], smallest[label][linked]
-
-
-def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+def depth_for(n: int) -> int:
+    """How many projections a table cuts for a label of ``n`` vectors: about half of all pairs share a range."""
+    return 0 if n <= WHOLE else math.ceil(math.log2(n / BLOCK))
+
+
+def tables_for(depth: int) -> int:
+    """How many tables it takes for RECALL.
+
+    Along any direction a pair's difference is close to normal; a pair that
+    differs by s shares a range of width r with probability 1 - s / r.
+    """
+    if not depth:
+        return 1
+    together = (1 - math.sqrt(2 / math.pi) / RANGE) ** depth
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-together))
+
+
+@functools.lru_cache(maxsize=64)
+def _table_axes(width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every table its orthonormal directions, side by side, and where its ranges begin."""
+    rng, depth = np.random.default_rng([23, width, depth]), min(depth, width)
+    n_tables = tables_for(depth)
+    axes = np.concatenate([np.linalg.qr(rng.standard_normal((width, depth)))[0] for _ in range(n_tables)], 1)
+    return axes, rng.random(n_tables * depth)
+
+
+def cells_of(unit: np.ndarray, n: int, least: float) -> np.ndarray:
+    """The cell of each unit vector of a label of ``n`` vectors in every table, as 32 bits."""
+    depth = depth_for(n)
+    if not depth:
+        return np.zeros((len(unit), 1), np.int32)
+    width = unit.shape[1]
+    axes, begin = _table_axes(width, depth)
+    wide = RANGE * math.sqrt((2 - 2 * least) / width)
+    ranges = np.floor(unit @ axes / wide + begin).astype(np.int64).reshape(len(unit), -1, min(depth, width))
+    cell = np.zeros(ranges.shape[:2], np.uint64)
+    for k in range(ranges.shape[2]):
+        cell = common.mix(cell * np.uint64(0x9E3779B97F4A7C15) + ranges[:, :, k].astype(np.uint64))
+    return (cell >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+class Group(NamedTuple):
+    """Unit vectors that meet, how many copies each stands for, and their cells in the tables before this one."""
+
+    unit: np.ndarray
+    copies: np.ndarray
+    earlier: np.ndarray
+
+
+def compare(left: Group, right: Group | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, links, smallest linked index) of the linked vectors of two blocks, numbered one after the other, or of one with itself."""
+    a, b = left, left if right is None else right
+    shift = 0 if right is None else len(a.unit)
+    copies = a.copies if right is None else np.concatenate([a.copies, b.copies])
+    n = len(copies)
+    n_links, one, other = np.zeros(n), np.empty(0, np.int64), np.empty(0, np.int64)
+    for i, j in pairs_within(a.unit, b.unit, least, right is None):
+        new = ~(a.earlier[i] == b.earlier[j]).any(1)
+        i, j = i[new], j[new] + shift
+        n_links += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+        one, other = np.append(one, i), np.append(other, j)
+        if len(one) > 1 << 20:
+            label = common.local_components(n, one, other)
+            one = np.flatnonzero(label != np.arange(n))
+            other = label[one]
+    label = common.local_components(n, one, other)
+    linked = np.flatnonzero(n_links)
+    return linked, n_links[linked].astype(np.int64), label[linked]
+
+
+def _unit(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """A list column of one width as unit rows in double precision."""
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), width).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(vec_id, v, label, node): vectors that may link have a node, the same for equal vectors of a label."""
     narrow = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
     value = F.col(vector_col) if narrow else F.col(vector_col).cast("array<double>")  # floats travel as they are
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    largest = F.array_max(F.transform("v", F.abs))
-    good = rows.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).filter(finite).filter(largest > 0)
-    return rows, good
+    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & (F.array_max(F.transform("v", F.abs)) > 0)
+    key = F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col("label"), F.col("v"))), 16, "0") for seed in (1, 2)))
+    return rows.withColumn("node", F.when(usable, key))
+
+
+def _cells(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, tables): each node's cells, in every table of its label."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)], 1)
+            for width, n in np.unique(kind, axis=0).tolist():
+                there = pa.array(np.flatnonzero((kind == [width, n]).all(1)))
+                own = cells_of(_unit(batch.column(1).take(there), width), n, least)
+                offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(there), pa.ListArray.from_arrays(offsets, pa.array(own.ravel()))], schema=_CELLS)
+
+    return nodes.select("node", "v", "width", "n").mapInArrow(work, "node string, tables array<int>")
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
@@ -127,41 +219,60 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     one whose label is null link with nothing, and so do vectors of different
     length.  A row with a null id links with nothing and is kept, with a null
     component_id.  Rows that repeat an id are separate vectors which link with
-    each other like others; each has all links of its id.  Other columns of
+    each other like others; each has its own links.  Other columns of
     ``vectors`` are not read.
 
-    Each label's vectors are dealt at random into blocks of about ``BLOCK`` rows,
-    and every pair of blocks meets in a task; a task returns counts and a forest,
-    never pairs.
+    Equal vectors of a label are one node with a number of copies.  A task meets
+    two blocks of a cell and returns counts and a forest, never pairs; a cell of
+    any size is split into blocks, so a dense cluster costs many tasks, not a
+    large one.
     """
-    rows, good = _usable(vectors, id_col, vector_col, label_col)
-    good = good.withColumn("width", F.size("v"))
-    sizes = good.groupBy("label", "width").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("k"))
-    at = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    salted = sizes.select(F.col("label").alias("s_label"), F.col("width").alias("s_width"), "k", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("s_salt"))
-    dealt = good.withColumn("salt", at).join(salted, (F.col("label") == F.col("s_label")) & (F.col("width") == F.col("s_width")) & (F.col("salt") == F.col("s_salt")))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "vec_id"), "k").cast("int"))
+    rows = _usable(vectors, id_col, vector_col, label_col)
+    with lineage.scope():
+        good = rows.filter("node IS NOT NULL").withColumn("width", F.size("v"))
+        nodes = good.groupBy("label", "width", "node").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
+        nodes = lineage.Table(nodes).keep()
+        salted = nodes.groupBy("label", "width").agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        sized = nodes.select("node", "v", "label", "width", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int").alias("salt")).join(salted, ["label", "width", "salt"])
+        cells = common.written(_cells(sized, least))
+        sizes = nodes.select("node", "label", "width").join(cells, "node").select("label", "width", F.posexplode("tables").alias("table", "cell"), "node")
+        big = sizes.groupBy("label", "width", "table", "cell").count().filter(F.col("count") > BLOCK).withColumn("k", F.ceil(F.col("count") / BLOCK).cast("int"))
+        found = common.written(_compared(nodes, cells, sizes, big, least))
+        n_links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        labels = connected_components(found, "node", "least").withColumnRenamed("node", "l_node")
+        named = nodes.select("node", "copies", "least_id").join(n_links, "node", "left")
+        named = named.join(labels, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "least_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        named = lineage.Table(named).keep()
+    groups = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    result = named.join(groups, "component").select(anew(named, "node").alias("r_node"), F.col("n_links").alias("r_links"), "component_id")
+    out = rows.select("vec_id", "node").join(result, F.col("node") == F.col("r_node"), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("r_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _compared(nodes: DataFrame, cells: DataFrame, sizes: DataFrame, big: DataFrame, least: float) -> DataFrame:
+    """(node, n_links, least) of every pair of blocks of every cell."""
+    # cells of more than a block, by node: in which tables, and of how many blocks
+    crowded = sizes.join(big, ["label", "width", "table", "cell"]).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("table", "k"))).alias("crowded"))
+    dealt = nodes.join(cells, "node").join(crowded, "node", "left").select("node", "label", "width", "v", "copies", "tables", "crowded", F.posexplode("tables").alias("table", "cell"))
+    k = F.coalesce(F.try_element_at("crowded", F.col("table")), F.lit(1))
+    dealt = dealt.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("k")).cast("int"))
     # block b takes part in the pairs (x, b) for x <= b and (b, y) for y > b
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
-    cells = dealt.select("label", "width", "vec_id", "v", "block", F.explode(pairs).alias("pair")).select("label", "width", "vec_id", "v", "block", "pair.p", "pair.q")
+    earlier = F.slice("tables", F.lit(1), F.col("table"))
+    dealt = dealt.select("label", "width", "table", "cell", "node", "v", "copies", "block", earlier.alias("earlier"), F.explode(pairs).alias("pair"))
+    dealt = dealt.select("label", "width", "table", "cell", "pair.p", "pair.q", "node", "v", "copies", "block", "earlier")
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        ids = group["vec_id"].to_numpy()
-        flat = group["v"].combine_chunks()
-        x = flat.values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() :][: len(ids) * key[1].as_py()].reshape(len(ids), -1).astype(np.float64)
-        x = x / np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        block = group["block"].to_numpy()
-        first = block == key[2].as_py()
-        if key[2] == key[3]:
-            found = compare((ids, x), None, least)
-        else:
-            found = compare((ids[first], x[first]), (ids[~first], x[~first]), least)
-        return pa.Table.from_arrays([pa.array(c) for c in found], schema=_FOUND)
-
-    found = common.written(cells.groupBy("label", "width", "p", "q").applyInArrow(meet, "vec_id long, n_links long, least long"))
-    n_links = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    labels = connected_components(found, "vec_id", "least")
-    out = rows.select("vec_id").join(n_links, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+        width, table, p, q = (key[k].as_py() for k in (1, 2, 4, 5))
+        order = pa.array(np.argsort(group["block"].to_numpy(), kind="stable"))
+        group = group.select(["node", "v", "copies", "block", "earlier"]).take(order)
+        x, copies, block = _unit(group["v"], width), group["copies"].to_numpy(), group["block"].to_numpy()
+        seen = pa.concat_arrays(group["earlier"].chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(x), table)
+        own = lambda part: Group(x[part], copies[part], seen[part])
+        cut = int(np.searchsorted(block, p, side="right"))
+        at, n_links, smallest = compare(own(slice(0, cut)), None if p == q else own(slice(cut, None)), least)
+        node = group["node"].combine_chunks()
+        return pa.Table.from_arrays([node.take(pa.array(at)), pa.array(n_links), node.take(pa.array(smallest))], schema=_FOUND)
+
+    return dealt.groupBy("label", "width", "table", "cell", "p", "q").applyInArrow(meet, "node string, n_links long, least string")
