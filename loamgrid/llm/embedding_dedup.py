@@ -43,11 +43,15 @@ RECALL = 1 - 1e-6
 RANGE = 5.0
 #: Share of collisions that a pair may miss.
 MISSING = 0.25
+#: So few pairs are verified at once, without a count.
+FEW_PAIRS = 1024
+#: Entries (a vector in a cell) that a task meets together, in cells of any size.
+TASK_ENTRIES = 8 * BLOCK
 #: Queries counted together.
 QUERIES = 128
 
 _FOUND = pa.schema([("node", pa.string()), ("n_links", pa.int64()), ("least", pa.string())])
-_CELLS = pa.schema([("node", pa.string()), ("tables", pa.list_(pa.int32()))])
+_CELLS = pa.schema([("node", pa.string()), ("v", pa.list_(pa.float64())), ("copies", pa.int64()), ("kind", pa.int64()), ("tables", pa.list_(pa.int32()))])
 
 
 def directions(width: int, most: int = 32, seed: int = 17) -> np.ndarray:
@@ -80,6 +84,12 @@ class Projections:
 
 def pairs_within(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of unit rows (i of a, j of b; i < j in one block) with cosine >= ``least``."""
+    if len(a) * len(b) <= FEW_PAIRS:
+        i, j = np.indices((len(a), len(b))).reshape(2, -1)
+        i, j = (i[i < j], j[i < j]) if same else (i, j)
+        near = np.einsum("ij,ij->i", a[i], b[j]) >= least
+        yield i[near], j[near]
+        return
     axes = directions(a.shape[1])
     m, reach = axes.shape[1], math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     missing = max(1, math.ceil(MISSING * m))
@@ -174,14 +184,18 @@ def compare(left: Group, right: Group | None, least: float) -> tuple[np.ndarray,
     return linked, n_links[linked].astype(np.int64), label[linked]
 
 
-def _unit(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """A list column of one width as unit rows in double precision."""
-    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), width).astype(np.float64)
+def _unit(values: np.ndarray, n: int) -> np.ndarray:
+    """``n`` vectors, one after the other, as unit rows in double precision."""
+    x = values.reshape(n, -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values and where each row's begin and end."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(vec_id, v, label, node): vectors that may link have a node, the same for equal vectors of a label."""
     narrow = vectors.schema[vector_col].dataType.simpleString() in ("array<float>", "array<double>")
@@ -194,18 +208,22 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 
 
 def _cells(nodes: DataFrame, least: float) -> DataFrame:
-    """(node, tables): each node's cells, in every table of its label."""
+    """(node, v, copies, kind, tables) of nodes with their label's size n: the cells in every table; ``kind`` tells labels and widths apart."""
+    vector = nodes.schema["v"].dataType
+    schema = _CELLS.set(1, pa.field("v", pa.list_(pa.float32() if vector.simpleString() == "array<float>" else pa.float64())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)], 1)
-            for width, n in np.unique(kind, axis=0).tolist():
-                there = pa.array(np.flatnonzero((kind == [width, n]).all(1)))
-                own = cells_of(_unit(batch.column(1).take(there), width), n, least)
-                offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(there), pa.ListArray.from_arrays(offsets, pa.array(own.ravel()))], schema=_CELLS)
+            shape = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)], 1)
+            for width, n in np.unique(shape, axis=0).tolist():
+                own = batch.take(pa.array(np.flatnonzero((shape == [width, n]).all(1))))
+                cells = cells_of(_unit(own.column(1).flatten().to_numpy(zero_copy_only=False), own.num_rows), n, least)
+                offsets = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1])
+                columns = [c.cast(f.type) for c, f in zip(own.columns[:4], schema, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], schema=schema)
 
-    return nodes.select("node", "v", "width", "n").mapInArrow(work, "node string, tables array<int>")
+    kind = F.xxhash64("label", "width").alias("kind")
+    return nodes.select("node", "v", "copies", kind, "width", "n").mapInArrow(work, f"node string, v {vector.simpleString()}, copies long, kind long, tables array<int>")
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
@@ -233,11 +251,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         nodes = good.groupBy("label", "width", "node").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
         nodes = lineage.Table(nodes).keep()
         salted = nodes.groupBy("label", "width").agg(F.count("*").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        sized = nodes.select("node", "v", "label", "width", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int").alias("salt")).join(salted, ["label", "width", "salt"])
-        cells = common.written(_cells(sized, least))
-        sizes = nodes.select("node", "label", "width").join(cells, "node").select("label", "width", F.posexplode("tables").alias("table", "cell"), "node")
-        big = sizes.groupBy("label", "width", "table", "cell").count().filter(F.col("count") > BLOCK).withColumn("k", F.ceil(F.col("count") / BLOCK).cast("int"))
-        found = common.written(_compared(nodes, cells, sizes, big, least))
+        sized = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)).cast("int")).join(salted, ["label", "width", "salt"])
+        found = common.written(_compared(common.written(_cells(sized, least)), least))
         n_links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
         labels = connected_components(found, "node", "least").withColumnRenamed("node", "l_node")
         named = nodes.select("node", "copies", "least_id").join(n_links, "node", "left")
@@ -250,29 +265,41 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select("vec_id", F.coalesce("r_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _compared(nodes: DataFrame, cells: DataFrame, sizes: DataFrame, big: DataFrame, least: float) -> DataFrame:
+def _compared(cells: DataFrame, least: float) -> DataFrame:
     """(node, n_links, least) of every pair of blocks of every cell."""
+    entries = cells.select("node", "kind", F.posexplode("tables").alias("table", "cell"))
+    sizes = common.written(entries.groupBy("kind", "table", "cell").count().filter("count > 1").withColumn("k", F.ceil(F.col("count") / BLOCK).cast("int")))
+    n_tasks = max(32, (sizes.agg(F.sum(F.col("count") * F.col("k"))).first()[0] or 0) // TASK_ENTRIES)
     # cells of more than a block, by node: in which tables, and of how many blocks
-    crowded = sizes.join(big, ["label", "width", "table", "cell"]).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("table", "k"))).alias("crowded"))
-    dealt = nodes.join(cells, "node").join(crowded, "node", "left").select("node", "label", "width", "v", "copies", "tables", "crowded", F.posexplode("tables").alias("table", "cell"))
+    crowded = entries.join(sizes.filter("k > 1"), ["kind", "table", "cell"]).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("table", "k"))).alias("crowded"))
+    dealt = cells.join(crowded, "node", "left").select("node", "kind", "v", "copies", "tables", "crowded", F.posexplode("tables").alias("table", "cell"))
     k = F.coalesce(F.try_element_at("crowded", F.col("table")), F.lit(1))
     dealt = dealt.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("k")).cast("int"))
     # block b takes part in the pairs (x, b) for x <= b and (b, y) for y > b
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.struct(F.least(x, "block").alias("p"), F.greatest(x, "block").alias("q")))
     earlier = F.slice("tables", F.lit(1), F.col("table"))
-    dealt = dealt.select("label", "width", "table", "cell", "node", "v", "copies", "block", earlier.alias("earlier"), F.explode(pairs).alias("pair"))
-    dealt = dealt.select("label", "width", "table", "cell", "pair.p", "pair.q", "node", "v", "copies", "block", "earlier")
-
-    def meet(key: tuple, group: pa.Table) -> pa.Table:
-        width, table, p, q = (key[k].as_py() for k in (1, 2, 4, 5))
-        order = pa.array(np.argsort(group["block"].to_numpy(), kind="stable"))
-        group = group.select(["node", "v", "copies", "block", "earlier"]).take(order)
-        x, copies, block = _unit(group["v"], width), group["copies"].to_numpy(), group["block"].to_numpy()
-        seen = pa.concat_arrays(group["earlier"].chunks).flatten().to_numpy(zero_copy_only=False).reshape(len(x), table)
-        own = lambda part: Group(x[part], copies[part], seen[part])
-        cut = int(np.searchsorted(block, p, side="right"))
-        at, n_links, smallest = compare(own(slice(0, cut)), None if p == q else own(slice(cut, None)), least)
-        node = group["node"].combine_chunks()
+    dealt = dealt.select("kind", "table", "cell", "node", "v", "copies", "block", earlier.alias("earlier"), F.explode(pairs).alias("pair"))
+    key = F.xxhash64("kind", "table", "cell", "pair")
+    dealt = dealt.select(F.pmod(key, F.lit(n_tasks)).alias("task"), key.alias("key"), (F.col("block") != F.col("pair.p")).alias("second"), (F.col("pair.p") == F.col("pair.q")).alias("alone"), "node", "v", "copies", "earlier")
+
+    def meet(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group["second"].to_numpy(), group["key"].to_numpy()))
+        group = group.take(pa.array(order)).combine_chunks()
+        key, second, alone, copies = (group[c].to_numpy() for c in ("key", "second", "alone", "copies"))
+        v, v_at = _lists(group["v"].chunk(0))
+        seen, seen_at = _lists(group["earlier"].chunk(0))
+        own = lambda a, b: Group(_unit(v[v_at[a] : v_at[b]], b - a), copies[a:b], seen[seen_at[a] : seen_at[b]].reshape(b - a, -1))
+        edges, out = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])), []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            cut = b if alone[a] else a + int(np.searchsorted(second[a:b], True))
+            if cut > a and (cut < b or alone[a] and b - a > 1):
+                at, n_links, smallest = compare(own(a, cut), None if alone[a] else own(cut, b), least)
+                if len(at):
+                    out.append((a + at, n_links, a + smallest))
+        if not out:
+            return _FOUND.empty_table()
+        at, n_links, smallest = map(np.concatenate, zip(*out, strict=True))
+        node = group["node"].chunk(0)
         return pa.Table.from_arrays([node.take(pa.array(at)), pa.array(n_links), node.take(pa.array(smallest))], schema=_FOUND)
 
-    return dealt.groupBy("label", "width", "table", "cell", "p", "q").applyInArrow(meet, "node string, n_links long, least string")
+    return dealt.groupBy("task").applyInArrow(meet, "node string, n_links long, least string")
