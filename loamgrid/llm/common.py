@@ -125,6 +125,6 @@ def id_and_text(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return frame.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def text_key(text: Column) -> Column:
-    """128 bits of a text, which tell apart rows that share an id or have none."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+def text_key(*columns: Column) -> Column:
+    """128 bits of a text or of several columns, which tell apart rows that share an id or have none."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))

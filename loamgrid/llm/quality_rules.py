@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from . import common
+from .substring_dedup import word_hashes
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -49,7 +49,7 @@ def line_fails(line: bytes, n_words: int, rules: LineRules) -> str:
     """The first rule that a stripped line with words fails, or ''."""
     if n_words >= rules.bare_words and line[-1] not in rules.ends:
         return "punctuation"
-    if line.translate(None, SYMBOLS) != line and 100 * len(_MARKED.findall(line)) > rules.most_marked * n_words:
+    if line.translate(None, SYMBOLS) != line and 100 * sum(1 for _ in _MARKED.finditer(line)) > rules.most_marked * n_words:
         return "navigation"
     upper = len(line.translate(None, _NOT_UPPER))
     if upper >= rules.least_upper and upper > rules.upper_times * len(line.translate(None, _NOT_LOWER)):
@@ -57,12 +57,11 @@ def line_fails(line: bytes, n_words: int, rules: LineRules) -> str:
     return "boilerplate" if _BOILER.search(line.lower()) else ""
 
 
-def repeated_words(words: list[bytes], width: int = 3) -> int:
-    """Words in ``width``-word windows that the text holds at least twice."""
-    n = len(words) - width + 1
+def repeated_words(h: np.ndarray, width: int = 3) -> int:
+    """Words in ``width``-word windows that the text holds at least twice, from the words' hashes."""
+    n = len(h) - width + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     w = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
@@ -73,7 +72,7 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
         return 0
     twice = np.zeros(n, bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    mask = np.zeros(len(words), bool)
+    mask = np.zeros(len(h), bool)
     for k in range(width):
         mask[k : n + k] |= twice
     return int(mask.sum())
@@ -87,23 +86,24 @@ _DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 
 
 def judge(raw: bytes, rules: LineRules) -> tuple:
-    """The columns after doc_id for one text."""
-    words = raw.split()
-    n, seen, n_dup, lost, kept = len(words), set(), 0, 0, []
+    """The columns after doc_id for one text; of its words eight bytes each are held."""
+    hashes = word_hashes(raw)
+    n, seen, n_dup, lost, kept = len(hashes), set(), 0, 0, []
     failed = {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     for line in raw.split(b"\n"):
         if not (own := line.strip(SPACE)):
             continue
         n_dup += line in seen
         seen.add(line)
-        n_own = len(own.split())
+        n_own = sum(len(piece.split()) for piece in common.slices(own, SPACE))
         if rule := line_fails(own, n_own, rules):
             failed[rule] += 1
             lost += n_own
         else:
             kept.append(line)
-    repeat = repeated_words(words)
-    chars = sum(map(len, (w.decode() for w in words))) if not raw.isascii() else len(raw.translate(None, SPACE))
+    repeat = repeated_words(hashes)
+    bare = raw.translate(None, SPACE)
+    chars = len(bare) if raw.isascii() else len(bare.decode())
     base_failed = n < 50 or 100 * repeat > 50 * n
     return n, chars, len(raw) - len(raw.translate(None, SYMBOLS)), n_dup, repeat, base_failed, not base_failed and 100 * lost <= rules.most_lost * n, lost, *failed.values(), b"\n".join(kept).decode()
 

@@ -139,14 +139,15 @@ _FOUND_DDL = "a long, b long, anchor long, block int, blocks int, prints binary"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, key, fp): 128 bits of the text as struct<a, b>, and the fingerprint's 64 bits as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda value: value - (value >> 63 << 64)
-        return common.batches(((doc_id, signed(fingerprint(raw))) for doc_id, raw in common.texts(batches)), schema)
+        return common.batches(((doc_id, a, b, signed(fingerprint(raw))) for doc_id, raw, a, b in common.texts(batches)), schema)
 
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, fp long")
+    rows = common.id_and_text(docs, id_col, text_col).withColumn("key", common.text_key(F.col("text"))).select("doc_id", "text", "key.a", "key.b")
+    return rows.mapInArrow(work, "doc_id long, a long, b long, fp long").select("doc_id", F.struct("a", "b").alias("key"), "fp")
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -194,22 +195,27 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group documents whose fingerprints link: (doc_id, fp, component_id), one row per input row.
+    """Group documents whose fingerprints link: (doc_id, key, fp, component_id, kept), one row per input row.
 
     Fingerprints link at three or fewer differing bits; ``component_id`` is the
-    smallest id reachable by links, the row's own included; every row of a group
-    but that one is a near-duplicate.  Equal fingerprints are one node, so
-    copies are never paired with each other.
+    smallest id reachable by links, the row's own included.  ``kept`` marks the
+    one document that stands for a group: the first by id, rows without an id
+    last, and then by ``key``, 128 bits of the text; every other row is a
+    near-duplicate.  Equal fingerprints are one node, so copies are never paired
+    with each other.
 
     A null or empty text has fingerprint 0 and links like any other.  Rows with
-    a null id take part; a group of such rows alone has a null component_id.
-    Repeated rows are grouped together.  Other columns of ``docs`` are not read.
+    a null id take part; a group of such rows alone has a null component_id and
+    still keeps one.  Rows that repeat id and text are one document, kept
+    together.  Other columns of ``docs`` are not read.
     """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     with lineage.scope():
         rows = lineage.Table(fingerprints(docs, id_col, text_col)).keep()
-        nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        nodes = common.written(rows.groupBy("fp").agg(F.min(row).alias("least")))
         labels = connected_components(near_links(nodes))
         named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
         named = lineage.Table(named).keep()
-    groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(groups, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    groups = named.groupBy("component").agg(F.min("least").alias("first"))
+    found = rows.join(named.join(groups, "component").select("fp", "first"), "fp")
+    return found.select("doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), row.eqNullSafe(F.col("first")).alias("kept"))

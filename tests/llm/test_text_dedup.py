@@ -231,6 +231,7 @@ def test_simhash_groups(spark):
     out = simhash_dedup.simhash_dedup(frame(spark, rows))
     got = sorted(((r.doc_id, r.component_id) for r in out.collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 7), (7, 7), (None, 3), (None, None), (11, 11), (11, 11)], key=str)
+    assert sorted(((r.doc_id, r.component_id) for r in out.collect() if r.kept), key=str) == sorted([(3, 3), (7, 7), (None, None), (11, 11), (11, 11)], key=str)
     assert simhash_dedup.simhash_dedup(frame(spark, []).limit(0)).count() == 0
 
 
