@@ -19,7 +19,17 @@ _URL = r"\b(?:https?://|ftp://|www\.)[^\s<>'\"\\)\]]+"
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 _IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 _HEX4 = "[A-Fa-f0-9]{1,4}"
-_IPV6 = rf"\b(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{1,7}}:|" + "|".join(rf"(?:{_HEX4}:){{1,{k}}}(?::{_HEX4}){{1,{7 - k}}}" for k in (6, 5, 4, 3, 2)) + rf"|{_HEX4}:(?:(?::{_HEX4}){{1,6}})|:(?:(?::{_HEX4}){{1,7}}|:))\b"
+_IPV6 = r"\b(?:" + "|".join([
+    rf"(?:{_HEX4}:){{7}}{_HEX4}",
+    rf"(?:{_HEX4}:){{1,7}}:",
+    rf"(?:{_HEX4}:){{1,6}}(?::{_HEX4}){{1,1}}",
+    rf"(?:{_HEX4}:){{1,5}}(?::{_HEX4}){{1,2}}",
+    rf"(?:{_HEX4}:){{1,4}}(?::{_HEX4}){{1,3}}",
+    rf"(?:{_HEX4}:){{1,3}}(?::{_HEX4}){{1,4}}",
+    rf"(?:{_HEX4}:){{1,2}}(?::{_HEX4}){{1,5}}",
+    rf"{_HEX4}:(?:(?::{_HEX4}){{1,6}})",
+    rf":(?:(?::{_HEX4}){{1,7}}|:)",
+]) + r")\b"
 _PHONE = r"\b(?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{4}\b"
 _ZIP = r"\b\d{5}(?:-\d{4})?\b"
 _POSTAL = r"\b(?:\d{5}(?:-\d{4})?|[A-Za-z]\d[A-Za-z][ -]?\d[A-Za-z]\d|[A-Za-z]{1,2}\d[A-Za-z\d]?\s?\d[A-Za-z]{2})\b"
@@ -261,8 +271,8 @@ def encode(text: Column, scheme: str) -> Column:
 
 
 def decode(text: Column, scheme: str) -> Column:
-    """The inverse of ``encode``; null where the text is not in the scheme."""
-    utf8 = lambda raw: F.decode(raw, "UTF-8") if raw is None else F.try_validate_utf8(raw.cast("string"))
+    """The inverse of ``encode``; null where the text is not in the scheme, bytes that are not UTF-8 replaced by U+FFFD."""
+    utf8 = lambda raw: F.make_valid_utf8(raw.cast("string"))
     known = {
         "base64": utf8(F.try_to_binary(_padded(text), F.lit("base64"))), "base64url": utf8(F.try_to_binary(_padded(F.translate(text, "-_", "+/")), F.lit("base64"))),
         "hex": utf8(F.try_to_binary(F.regexp_replace(text, r"\s+", ""), F.lit("hex"))), "url": F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), "url-plus": F.try_url_decode(text), "rot13": _rot13(text),
