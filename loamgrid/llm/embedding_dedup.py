@@ -258,8 +258,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         named = nodes.select("node", "copies", "least_id").join(n_links, "node", "left")
         named = named.join(labels, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("component", "node").alias("component"), "least_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         named = lineage.Table(named).keep()
-    groups = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    result = named.join(groups, "component").select(anew(named, "node").alias("r_node"), F.col("n_links").alias("r_links"), "component_id")
+    groups = named.groupBy("component").agg(F.min("least_id").alias("component_id")).select(anew(named, "component").alias("c"), "component_id")
+    result = named.join(groups, F.col("component") == F.col("c")).select(anew(named, "node").alias("r_node"), F.col("n_links").alias("r_links"), "component_id")
     out = rows.select("vec_id", "node").join(result, F.col("node") == F.col("r_node"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("r_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loamgrid import lineage
 
 from . import common
-from .components import connected_components
+from .components import anew, connected_components
 
 SPACE = b" \t\n\x0b\x0c\r"
 SHINGLE = 3
@@ -216,6 +216,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = connected_components(near_links(nodes))
         named = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
         named = lineage.Table(named).keep()
-    groups = named.groupBy("component").agg(F.min("least").alias("first"))
-    found = rows.join(named.join(groups, "component").select("fp", "first"), "fp")
+    groups = named.groupBy("component").agg(F.min("least").alias("first")).select(anew(named, "component").alias("c"), "first")
+    found = rows.join(named.join(groups, F.col("component") == F.col("c")).select("fp", "first"), "fp")
     return found.select("doc_id", "key", "fp", F.col("first.doc_id").alias("component_id"), row.eqNullSafe(F.col("first")).alias("kept"))
