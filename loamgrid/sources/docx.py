@@ -53,11 +53,23 @@ class Block:
 # --- equations --------------------------------------------------------------------------------------------------------
 
 # LaTeX names of operators, accents, brackets and functions.
-_OPERATORS = {"∑": r"\sum", "∏": r"\prod", "∫": r"\int", "∬": r"\iint", "∮": r"\oint", "⋃": r"\bigcup", "⋂": r"\bigcap"}
-_ACCENTS = {"̂": r"\hat", "̃": r"\tilde", "̄": r"\bar", "̇": r"\dot", "̈": r"\ddot", "⃗": r"\vec"}
+_OPERATORS = {
+    "∑": r"\sum", "∏": r"\prod", "∐": r"\coprod", "∫": r"\int", "∬": r"\iint", "∭": r"\iiint", "∮": r"\oint",
+    "⋃": r"\bigcup", "⋂": r"\bigcap", "⋁": r"\bigvee", "⋀": r"\bigwedge",
+}
+_ACCENTS = {
+    "\u0302": r"\hat", "\u0303": r"\tilde", "\u0304": r"\bar", "\u0305": r"\overline", "\u0306": r"\breve", "\u0307": r"\dot",
+    "\u0308": r"\ddot", "\u030c": r"\check", "\u0300": r"\grave", "\u0301": r"\acute", "\u20d7": r"\vec",
+}
 _BRACKETS = {"": ".", "{": r"\{", "}": r"\}", "⟨": r"\langle", "⟩": r"\rangle", "‖": r"\|", "⌈": r"\lceil", "⌉": r"\rceil", "⌊": r"\lfloor", "⌋": r"\rfloor"}
-_UPRIGHT = "sin cos tan cot sec csc arcsin arccos arctan sinh cosh tanh coth log ln exp lim max min det gcd dim ker sup inf deg arg".split()
-_TEX = {"#": r"\#", "%": r"\%", "&": r"\&", "_": r"\_", "{": r"\{", "}": r"\}", "\\": r"\backslash "}
+_UPRIGHT = (
+    "sin", "cos", "tan", "cot", "sec", "csc", "arcsin", "arccos", "arctan", "sinh", "cosh", "tanh", "coth",
+    "log", "ln", "exp", "lim", "max", "min", "det", "gcd", "dim", "ker", "sup", "inf", "deg", "arg",
+)
+_TEX = {
+    "\\": r"\backslash ", "{": r"\{", "}": r"\}", "%": r"\%", "$": r"\$", "&": r"\&", "#": r"\#", "_": r"\_",
+    "^": r"\^{}", "~": r"\~{}",
+}
 #: Forms of elements whose parts only have to be put in their places.
 _FORMS = {
     "sSub": "{@e}_{{{sub}}}", "sSup": "{@e}^{{{sup}}}", "sSubSup": "{@e}_{{{sub}}}^{{{sup}}}", "sPre": "{{}}_{{{sub}}}^{{{sup}}}{@e}",
@@ -132,6 +144,43 @@ def _latex_of(node) -> str:
     return latex(node)
 
 
+# --- symbol fonts -----------------------------------------------------------------------------------------------------
+
+# The characters of the Symbol font (Adobe's encoding) and of the Wingdings fonts' marks, by code.
+_GLYPHS = {
+    "symbol": {
+        0x22: "∀", 0x24: "∃", 0x27: "∋", 0x2A: "∗", 0x2D: "−", 0x40: "≅",
+        0x41: "Α", 0x42: "Β", 0x43: "Χ", 0x44: "Δ", 0x45: "Ε", 0x46: "Φ", 0x47: "Γ", 0x48: "Η", 0x49: "Ι", 0x4A: "ϑ",
+        0x4B: "Κ", 0x4C: "Λ", 0x4D: "Μ", 0x4E: "Ν", 0x4F: "Ο", 0x50: "Π", 0x51: "Θ", 0x52: "Ρ", 0x53: "Σ", 0x54: "Τ",
+        0x55: "Υ", 0x56: "ς", 0x57: "Ω", 0x58: "Ξ", 0x59: "Ψ", 0x5A: "Ζ", 0x5C: "∴", 0x5E: "⊥", 0x60: "‾",
+        0x61: "α", 0x62: "β", 0x63: "χ", 0x64: "δ", 0x65: "ε", 0x66: "φ", 0x67: "γ", 0x68: "η", 0x69: "ι", 0x6A: "ϕ",
+        0x6B: "κ", 0x6C: "λ", 0x6D: "μ", 0x6E: "ν", 0x6F: "ο", 0x70: "π", 0x71: "θ", 0x72: "ρ", 0x73: "σ", 0x74: "τ",
+        0x75: "υ", 0x76: "ϖ", 0x77: "ω", 0x78: "ξ", 0x79: "ψ", 0x7A: "ζ", 0x7E: "∼",
+        0xA0: "€", 0xA1: "ϒ", 0xA2: "′", 0xA3: "≤", 0xA4: "⁄", 0xA5: "∞", 0xA6: "ƒ", 0xA7: "♣", 0xA8: "♦", 0xA9: "♥", 0xAA: "♠",
+        0xAB: "↔", 0xAC: "←", 0xAD: "↑", 0xAE: "→", 0xAF: "↓", 0xB0: "°", 0xB1: "±", 0xB2: "″", 0xB3: "≥", 0xB4: "×", 0xB5: "∝",
+        0xB6: "∂", 0xB7: "•", 0xB8: "÷", 0xB9: "≠", 0xBA: "≡", 0xBB: "≈", 0xBC: "…", 0xBF: "↵", 0xC0: "ℵ", 0xC1: "ℑ", 0xC2: "ℜ",
+        0xC3: "℘", 0xC4: "⊗", 0xC5: "⊕", 0xC6: "∅", 0xC7: "∩", 0xC8: "∪", 0xC9: "⊃", 0xCA: "⊇", 0xCB: "⊄", 0xCC: "⊂", 0xCD: "⊆",
+        0xCE: "∈", 0xCF: "∉", 0xD0: "∠", 0xD1: "∇", 0xD2: "®", 0xD3: "©", 0xD4: "™", 0xD5: "∏", 0xD6: "√", 0xD7: "⋅", 0xD8: "¬",
+        0xD9: "∧", 0xDA: "∨", 0xDB: "⇔", 0xDC: "⇐", 0xDD: "⇑", 0xDE: "⇒", 0xDF: "⇓", 0xE0: "◊", 0xE1: "⟨", 0xE5: "∑", 0xF1: "⟩", 0xF2: "∫",
+    },
+    "wingdings": {
+        0x21: "✏", 0x22: "✂", 0x4A: "☺", 0x4B: "😐", 0x4C: "☹", 0x6C: "●", 0x6E: "■", 0x6F: "□", 0xA7: "▪", 0xA8: "▫",
+        0xD8: "➔", 0xFB: "✗", 0xFC: "✓", 0xFD: "☒", 0xFE: "☑",
+    },
+    "wingdings 2": {0x50: "✓", 0x51: "✔", 0x52: "✗", 0x53: "✘", 0x54: "☑", 0x56: "☒"},
+}
+
+
+def glyph(font: str | None, code: str | None) -> str:
+    """The text of a symbol: hexadecimal code, often moved to U+F000 to U+F0FF; other fonts give the plain character."""
+    if not code or not re.fullmatch("[0-9A-Fa-f]{1,5}", code):
+        return ""
+    at = int(code, 16)
+    at = at & 0xFF if at >> 8 == 0xF0 else at
+    plain = chr(at) if at >= 0x20 and not 0xD800 <= at <= 0xDFFF else ""
+    return _GLYPHS.get((font or "").strip().lower(), {}).get(at, plain)
+
+
 # --- the package ------------------------------------------------------------------------------------------------------
 
 
@@ -273,8 +322,7 @@ class Document:
             elif name == "noBreakHyphen":
                 text += "-"
             elif name == "sym":
-                code = int(_get(child, "w:char") or "0", 16)
-                text += chr(code - 0xF000 if 0xF000 <= code <= 0xF0FF else code) if code else ""
+                text += glyph(_get(child, "w:font"), _get(child, "w:char"))
             elif name in ("footnoteReference", "endnoteReference"):
                 key = _get(child, "w:id")
                 block.notes.append(key)

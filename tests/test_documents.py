@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,19 @@ def test_pdf_links(spark):
 def test_pdf_right_to_left():
     assert pdf.unshaped("\ufeb3\ufefc\ufee1 a") == "سلام a"
     assert pdf.reading_order("abc") == "abc" and pdf.reading_order("םולש") in ("שלום", "םולש")
+
+
+def test_symbol_glyphs():
+    read = [docx.glyph(*x) for x in (("Symbol", "F061"), ("symbol", "61"), ("Wingdings", "F0FE"), ("Wingdings 2", "F050"), ("Arial", "F041"), (None, "0042"))]
+    assert read == ["α", "α", "☑", "✓", "A", "B"]
+    assert [docx.glyph("Symbol", x) for x in (None, "", "zz", "F005", "D800")] == [""] * 5
+
+
+def test_equation_signs():
+    m = "http://schemas.openxmlformats.org/officeDocument/2006/math"
+    tex = lambda inner: docx.latex(ElementTree.fromstring(f'<m:oMath xmlns:m="{m}">{inner}</m:oMath>'))
+    assert tex("<m:r><m:t>a^b~$</m:t></m:r>") == r"a\^{}b\~{}\$"
+    part = "<m:{0}><m:{0}Pr><m:chr m:val='{1}'/></m:{0}Pr><m:e><m:r><m:t>x</m:t></m:r></m:e></m:{0}>"
+    assert [tex(part.format("nary", c)) for c in "∐∭⋁⋀"] == [r"\coprod{x}", r"\iiint{x}", r"\bigvee{x}", r"\bigwedge{x}"]
+    marks = {"\u0306": "breve", "\u030c": "check", "\u0300": "grave", "\u0301": "acute", "\u0305": "overline"}
+    assert [tex(part.format("acc", c)) for c in marks] == [rf"\{name}{{x}}" for name in marks.values()]
