@@ -76,8 +76,8 @@ def structure(frame: DataFrame, json_col: str, most_depth: int | None = None) ->
         inner = kind.filter(F.col("bit").isin(BIT["list"], BIT["object"]))
         if depth == most_depth or inner.limit(1).count() == 0:
             break
-        inner.createOrReplaceTempView("loamgrid_level")
-        level = frame.sparkSession.sql("SELECT path || CASE WHEN e.key IS NULL THEN '[]' ELSE '.' || e.key END AS path, e.value AS v FROM loamgrid_level, LATERAL variant_explode(v) AS e")
+        each = inner.select("path", "v").lateralJoin(frame.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        level = each.select(F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.lit("[]"))).alias("path"), F.col("value").alias("v"))
         if depth % LEVELS == LEVELS - 1:
             level, out = lineage.fixed(level), lineage.fixed(out)
     return out.select("path", "depth", "bits", "present", "nulls", "objects")

@@ -102,12 +102,12 @@ def records_from(frame: DataFrame, root: str | None = None) -> tuple[DataFrame,
 
 
 def read_json(spark: SparkSession, path: str, root: str | None = None) -> Source:
-    """JSON documents, or lines of them where whole files do not parse."""
-    whole = spark.read.option("multiLine", "true").json(path)
-    lines = whole.columns == ["_corrupt_record"] or path.endswith((".ndjson", ".jsonl"))
-    if not lines and "_corrupt_record" in whole.columns:
-        lines = whole.cache().filter("_corrupt_record IS NOT NULL").limit(1).count() > 0
-    frame = spark.read.json(path) if lines else whole
+    """Lines of JSON where the first ones are documents of their own, so that a large file is split; else whole files."""
+    lines = path.endswith((".ndjson", ".jsonl"))
+    if not lines:
+        first = spark.read.text(path).filter(F.trim("value") != "").select(F.get_json_object("value", "$").isNotNull()).limit(2).collect()
+        lines = bool(first) and all(row[0] for row in first)
+    frame = spark.read.option("multiLine", str(not lines).lower()).json(path)
     if "_corrupt_record" in frame.columns:
         raise DataError(f"{path} is neither JSON nor lines of JSON.")
     out, root_, notes = records_from(frame, root)
@@ -156,13 +156,24 @@ def untyped(frame: DataFrame) -> DataFrame:
     return frame.select(*(F.nullif(lattice.trimmed(F.col(f"`{c}`")), F.lit("")).alias(c) for c in frame.columns))
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted cell may go on in the next line: the line it begins in holds an odd number of quotes."""
+    quotes = F.char_length(F.regexp_replace("value", '[^"]+', ""))
+    return bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, infer: bool = True, encoding: str = "UTF-8") -> Source:
-    """A CSV file: names from its first row, short rows padded, long ones cut, blank ones dropped."""
+    """A CSV file: names from its first row, short rows padded, long ones cut, blank ones dropped.
+
+    One task reads a whole file only where a cell spans lines or the encoding is
+    not UTF-8; any other file is split.
+    """
     head = spark.read.option("encoding", encoding).text(path).limit(50).collect()  # the delimiter's sample
     if not head:
         raise DataError(f"{path} is empty.")
     sep = sniff_delimiter("\n".join(r[0] for r in head), path, delimiter)
-    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("nullValue", "")
+    whole = encoding.upper().replace("-", "") != "UTF8" or spans_lines(spark, path)
+    reader = spark.read.option("sep", sep).option("encoding", encoding).option("multiLine", str(whole).lower()).option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("nullValue", "")
     cells = next(csv.reader([head[0][0].lstrip("﻿")], delimiter=sep))
     names = header_names(cells)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
