@@ -263,7 +263,7 @@ def _padded(text: Column) -> Column:
 def encode(text: Column, scheme: str) -> Column:
     """base64, base64url, hex, url, url-plus or rot13 of the text's UTF-8."""
     quoted = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-    base64 = F.regexp_replace(F.base64(text.cast("binary")), r"\s", "")
+    base64 = F.translate(F.base64(text.cast("binary")), "\r\n", "")
     known = {"base64": base64, "base64url": F.translate(base64, "+/", "-_"), "hex": F.lower(F.hex(text.cast("binary"))), "url": F.replace(quoted, F.lit("+"), F.lit("%20")), "url-plus": quoted, "rot13": _rot13(text)}
     if scheme.lower() not in known:
         raise DataError(f"Unknown encoding: {scheme}")

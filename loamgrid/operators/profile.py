@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.errors import DataError
 from loamgrid.functions import lattice
@@ -69,8 +70,7 @@ def extremes(frame: DataFrame, columns: Iterable[str] | None = None) -> DataFram
         elif kind == "bool":
             low, high, mean = F.lit(None), F.lit(None), F.lit(None)
         else:
-            size = F.size(c) if kind == "list" else F.char_length(c) if kind == "str" else F.char_length(F.to_json(c))
-            size = F.when(c.isNotNull(), size)
+            size = F.when(c.isNotNull(), F.char_length(c) if kind == "str" else items(c, frame.schema[name].dataType))
             low, high, mean = F.min(size).cast("string"), F.max(size).cast("string"), F.avg(size)
         yes, no = (F.count_if(c), F.count_if(~c)) if kind == "bool" else (F.lit(None), F.lit(None))
         aggs.append(F.struct(F.lit(name).alias("field"), low.cast("string").alias("low"), high.cast("string").alias("high"), mean.cast("double").alias("mean"), yes.cast("long").alias("trues"), no.cast("long").alias("falses")).alias(f"f{k}"))
@@ -78,6 +78,16 @@ def extremes(frame: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     return one.select(F.explode(F.array(*(F.col(f"f{k}") for k in range(len(names))))).alias("f")).select("f.*")
 
 
+def items(value: Column, kind: T.DataType) -> Column:
+    """The number of items of a container: elements, keys, or fields with a value; a variant that is none counts one."""
+    if isinstance(kind, T.ArrayType | T.MapType):
+        return F.size(value)
+    if isinstance(kind, T.StructType):
+        return sum((value.getField(n).isNotNull().cast("int") for n in kind.names), F.lit(0))
+    text = F.to_json(value)
+    return F.coalesce(F.json_array_length(text), F.array_size(F.json_object_keys(text)), F.lit(1))
+
+
 def summary(frame: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """The whole profile: type, counts, distinct, extremes and top value of each column."""
     own = kinds(frame)

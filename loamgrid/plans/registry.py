@@ -93,6 +93,22 @@ def container_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.round("mean", 4).alias("mean"))
 
 
+@query(
+    """WITH s AS (SELECT c_nationkey + 1 AS keyed, CASE WHEN c_nationkey = 0 THEN 1 ELSE 2 END AS fields, len(string_split(c_name, '0')) AS parsed FROM customer)
+    SELECT 'keyed' AS field, CAST(min(keyed) AS BIGINT) AS low, CAST(max(keyed) AS BIGINT) AS high, round(avg(keyed), 4) AS mean FROM s
+    UNION ALL SELECT 'fields', CAST(min(fields) AS BIGINT), CAST(max(fields) AS BIGINT), round(avg(fields), 4) FROM s
+    UNION ALL SELECT 'parsed', CAST(min(parsed) AS BIGINT), CAST(max(parsed) AS BIGINT), round(avg(parsed), 4) FROM s"""
+)
+def object_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("c_nationkey").cast("long"))
+    held = table(spark, sf_dir, "customer").select(
+        F.map_from_arrays(numbers, numbers).alias("keyed"),
+        F.struct("c_custkey", F.nullif("c_nationkey", F.lit(0)).alias("nation")).alias("fields"),
+        F.parse_json(F.to_json(F.split("c_name", "0"))).alias("parsed"),
+    )
+    return profile.extremes(held).select("field", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), F.round("mean", 4).alias("mean"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS field FROM {t} HAVING count(DISTINCT {c}) = count(*) AND count({c}) = count(*)" for t, cs in (("orders", _ORDERS), ("customer", _CUSTOMER)) for c in cs))
 def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.key_candidates(table(spark, sf_dir, "orders")).unionByName(profile.key_candidates(table(spark, sf_dir, "customer")))
@@ -459,6 +475,52 @@ def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", u["scheme"].alias("scheme"), u["host"].alias("host"), u["path"].alias("path"), u["fragment"].alias("fragment"), F.try_element_at(u["query"], F.lit("page"))[0].alias("page"))
 
 
+#: Name of a result column: the expression and the same in SQL.
+_CALCULATED = {
+    "size": ("abs(l_discount - 0.05)", "abs(l_discount - 0.05)"),
+    "least": ("min(l_quantity, l_linenumber * 10)", "least(l_quantity, l_linenumber * 10)"),
+    "most": ("max(l_quantity, l_linenumber * 10)", "greatest(l_quantity, l_linenumber * 10)"),
+    "cube_root": ("cbrt(l_quantity)", "cbrt(l_quantity)"),
+    "grown": ("exp(l_discount)", "exp(l_discount)"),
+    "natural": ("ln(l_quantity)", "ln(l_quantity)"),
+    "base_3": ("log(l_quantity, 3)", "ln(l_quantity) / ln(3)"),
+    "base_2": ("log2(l_quantity)", "log2(l_quantity)"),
+    "base_10": ("log10(l_extendedprice)", "log10(l_extendedprice)"),
+    "power": ("pow(1 + l_discount, l_linenumber)", "pow(1 + l_discount, l_linenumber)"),
+    "down": ("floor(l_discount * -10.5)", "floor(l_discount * -10.5)"),
+    "up": ("ceil(l_discount * -10.5)", "ceil(l_discount * -10.5)"),
+    "cut": ("trunc(l_discount * -10.5)", "trunc(l_discount * -10.5)"),
+    "signed": ("copysign(l_quantity, l_discount - 0.05)", "CASE WHEN l_discount - 0.05 < 0 THEN -l_quantity ELSE l_quantity END"),
+    "diagonal": ("hypot(l_quantity, l_linenumber)", "sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber)"),
+    "divisor": ("gcd(l_orderkey, l_partkey)", "gcd(l_orderkey, l_partkey)"),
+    "multiple": ("lcm(l_linenumber, l_suppkey)", "lcm(l_linenumber, l_suppkey)"),
+    "arranged": ("factorial(l_linenumber)", "factorial(CAST(l_linenumber AS INTEGER))"),
+    "chosen": ("comb(9, l_linenumber)", "factorial(9) / (factorial(CAST(l_linenumber AS INTEGER)) * factorial(CAST(9 - l_linenumber AS INTEGER)))"),
+    "placed": ("perm(9, l_linenumber)", "factorial(9) / factorial(CAST(9 - l_linenumber AS INTEGER))"),
+    "in_degrees": ("degrees(l_discount)", "degrees(l_discount)"),
+    "in_radians": ("radians(l_quantity)", "radians(l_quantity)"),
+    "sine": ("sin(l_quantity)", "sin(l_quantity)"),
+    "cosine": ("cos(l_quantity)", "cos(l_quantity)"),
+    "tangent": ("tan(l_discount)", "tan(l_discount)"),
+    "arc_sine": ("asin(l_discount)", "asin(l_discount)"),
+    "arc_cosine": ("acos(l_discount)", "acos(l_discount)"),
+    "arc_tangent": ("atan(l_quantity)", "atan(l_quantity)"),
+    "angle": ("atan2(l_linenumber, l_quantity)", "atan2(l_linenumber, l_quantity)"),
+    "sine_h": ("sinh(l_linenumber)", "sinh(l_linenumber)"),
+    "cosine_h": ("cosh(l_linenumber)", "cosh(l_linenumber)"),
+    "tangent_h": ("tanh(l_discount)", "tanh(l_discount)"),
+    "either": ("xor(l_orderkey, l_partkey)", "xor(l_orderkey, l_partkey)"),
+}
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {', '.join(f'round(CAST({sql} AS DOUBLE), 6) + 0.0 AS {name}' for name, (_, sql) in _CALCULATED.items())} FROM lineitem")
+def expression_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = table(spark, sf_dir, "lineitem")
+    own = {c: F.col(c) for c in frame.columns}
+    result = lambda e: F.round(expression.compile_expression(e, own).cast("double"), 6) + 0.0  # noqa: E731  (-0.0 becomes 0.0)
+    return frame.select("l_orderkey", "l_linenumber", *(result(e).alias(name) for name, (e, _) in _CALCULATED.items()))
+
+
 @query("SELECT CAST(p AS INTEGER) AS port FROM (SELECT unnest([22, 80, 443]) AS p UNION SELECT unnest(range(8000, 8011)))")
 def port_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("80,443,8000-8010, 22,8005",)], "p string").select(F.explode(urls.expand_ports(F.col("p"))).alias("port"))

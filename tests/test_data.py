@@ -232,3 +232,27 @@ def test_stream(spark, tmp_path):
     query.stop()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, events.hourly(frame).collect()))
     assert sorted(r.n for r in events.sessions(frame, gap="30 minutes").collect()) == [2] * 6
+
+
+def test_csv_is_split_unless_a_cell_spans_lines(spark, tmp_path):
+    (tmp_path / "flat.csv").write_text('a,b\n1,"x ""y"" z"\n\n2,\n', encoding="utf-8")
+    (tmp_path / "long.csv").write_text('a,b\n1,"x\n""y"", z"\n2,w\n', encoding="utf-8")
+    assert [readers.spans_lines(spark, f"{tmp_path}/{n}.csv") for n in ("flat", "long")] == [False, True]
+    assert sorted(map(tuple, readers.load(spark, f"{tmp_path}/flat.csv").frame.collect())) == [(1, 'x "y" z'), (2, None)]
+    assert sorted(map(tuple, readers.load(spark, f"{tmp_path}/long.csv").frame.collect())) == [(1, 'x\n"y", z'), (2, "w")]
+
+
+def test_json_lines_under_any_name(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('\n{"a": 1}\n{"a": 2}\n')
+    (tmp_path / "whole.json").write_text('[\n{"a": 1},\n{"a": 2}\n]')
+    (tmp_path / "bad.json").write_text('{"a": 1\n')
+    for name in ("lines", "whole"):
+        assert sorted(r.a for r in readers.load(spark, f"{tmp_path}/{name}.json").frame.collect()) == [1, 2]
+    with pytest.raises(DataError):
+        readers.load(spark, f"{tmp_path}/bad.json")
+
+
+def test_container_sizes_are_items(spark):
+    frame = spark.sql("SELECT map('a', 1, 'b', 2) AS m, named_struct('x', 1, 'y', CAST(NULL AS INT)) AS s, parse_json(v) AS v FROM VALUES ('{\"a\": 1, \"b\": [1]}'), ('[1, 2, 3]'), ('7'), (NULL) AS t(v)")
+    rows = {r.field: (r.low, r.high, r["mean"]) for r in profile.extremes(frame).collect()}
+    assert rows == {"m": ("2", "2", 2.0), "s": ("1", "1", 1.0), "v": ("1", "3", 2.0)}
