@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loamgrid.errors import DataError
 
@@ -47,6 +47,7 @@ _ANSI = r"\x1B\[[0-?]*[ -/]*[@-~]"
 FA_DIGITS, AR_DIGITS, EN_DIGITS = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩", "0123456789"
 AR_LETTERS, FA_LETTERS = "يىئكةؤأإٱ", "یییکهوااا"
 DASHES, KASHIDA = "–—‑−", "ـ"
+_NUMBERED = 0x10000  # a rule's number is looked up as a character beyond this one
 TRANSLATIONS = {
     "en": (FA_DIGITS + AR_DIGITS + "؟،؛٪٫٬" + DASHES + KASHIDA, EN_DIGITS * 2 + "?,;%.," + "-" * len(DASHES) + "_"),
     "fa": (EN_DIGITS + AR_DIGITS + AR_LETTERS + "?,;%" + "-_" + DASHES, FA_DIGITS * 2 + FA_LETTERS + "؟،؛٪" + KASHIDA * (2 + len(DASHES))),
@@ -175,15 +176,34 @@ def default_rules() -> dict[int, str]:
     return rules | {ord(a): b for a, b in {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "«": "<<", "»": ">>", "©": "(C)", "®": "(R)"}.items()}
 
 
-def normalize_text(text: Column, rules: Mapping[int, str] | None = None) -> Column:
-    """Replace characters by rules, in one Arrow pass: targets of several characters rule out ``translate``."""
-    table = dict(default_rules() if rules is None else rules)
+def _class_of(keys: Iterable[int]) -> str:
+    """A Java character class; keys far apart stand behind ranges of their own, so that another character fails after a few tests."""
+    groups: list[list[list[int]]] = []
+    for key in sorted(keys):
+        if not groups or key - groups[-1][-1][1] > 256:
+            groups.append([[key, key]])
+        elif key == groups[-1][-1][1] + 1:
+            groups[-1][-1][1] = key
+        else:
+            groups[-1].append([key, key])
+    shown = lambda low, high: rf"\x{{{low:X}}}-\x{{{high:X}}}"
+    inner = "".join(f"[{shown(g[0][0], g[-1][1])}&&[{''.join(shown(*r) for r in g)}]]" for g in groups)
+    return f"[{shown(groups[0][0][0], groups[-1][-1][1])}&&[{inner}]]"
 
-    @F.pandas_udf(T.StringType())
-    def replaced(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else v.translate(table))
 
-    return replaced(text)
+def normalize_text(text: Column, rules: Mapping[int, str] | None = None) -> Column:
+    """Replace characters by rules, all at once: ``translate`` does those of one character, and a text is only cut where others stand."""
+    table = dict(default_rules() if rules is None else rules)
+    many = {k: v for k, v in table.items() if len(v) > 1 or v == "\0"}  # translate takes U+0000 for a deletion
+    ones = sorted(table.keys() - many.keys(), key=lambda k: not table[k])  # those to be deleted come last, they have no counterpart
+    plain = lambda part: F.translate(part, "".join(map(chr, ones)), "".join(table[k] for k in ones)) if ones else part
+    if not many:
+        return plain(text)
+    pattern, targets = _class_of(many), F.from_json(F.lit(json.dumps(list(many.values()))), "array<string>")
+    numbers = "".join(chr(_NUMBERED + k) for k in range(1, len(many) + 1))
+    target = lambda hit: F.element_at(targets, F.ascii(F.translate(hit, "".join(map(chr, many)), numbers)) - _NUMBERED)
+    cut = F.zip_with(F.split(text, pattern, -1), matches(text, pattern), lambda gap, hit: F.concat(plain(gap), F.when(hit.isNull(), "").otherwise(target(hit))))
+    return F.when(text.rlike(pattern), F.array_join(cut, "")).otherwise(plain(text))
 
 
 # --- case -------------------------------------------------------------------------------------------------------------
@@ -220,17 +240,20 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, F.when(w.isNull(), "").otherwise(_capital(w)))), "")
 
 
-@F.pandas_udf(T.StringType())
-def _fold(values: pd.Series) -> pd.Series:  # compatibility decomposition has no SQL function
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode())
+@functools.cache
+def ascii_rules() -> dict[int, str]:
+    """The ASCII letters in the compatibility decomposition of each character that has some."""
+    plain = {code: unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() for code in range(0x80, 0x110000)}
+    return {code: letters for code, letters in plain.items() if letters}
 
 
 def slugify(text: Column, allow_unicode: bool = False) -> Column:
-    """A URL slug; texts with characters beyond ASCII pass through one Arrow UDF unless ``allow_unicode``."""
-    value = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    value = F.lower(value if allow_unicode else _fold(value))
-    value = F.regexp_replace(F.regexp_replace(value, r"(?U)[^\w\s-]", ""), r"(?U)[\s_-]+", "-")
-    return F.regexp_replace(value, "^-+|-+$", "")
+    """A URL slug; characters beyond ASCII become the ASCII letters of their decomposition or go unless ``allow_unicode``."""
+    # white space around the text ends as hyphens; without (?U) what is not a word, space or hyphen includes all beyond ASCII
+    value, flag = (F.lower(text), "(?U)") if allow_unicode else (normalize_text(text, ascii_rules()), "")
+    value = F.regexp_replace(F.regexp_replace(value, flag + r"[^\w\s-]+", ""), flag + r"[\s_-]+", "-")
+    value = F.regexp_replace(value, "^-+|-+$", "")
+    return value if allow_unicode else F.lower(value)
 
 
 CASES = {"lower": F.lower, "upper": F.upper, "title": title_case, "snake": snake_case, "kebab": kebab_case, "camel": camel_case, "pascal": pascal_case, "slug": slugify, "slug-unicode": lambda c: slugify(c, True)}

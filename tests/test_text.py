@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+import unicodedata
 import urllib.parse
 
 import pytest
@@ -101,6 +102,20 @@ def test_translate_and_normalise(spark):
         text.translate_text(F.col("t"), "xx")
 
 
+def test_normalise_and_slugs_run_without_python(spark):
+    rules, folded = text.default_rules(), text.ascii_rules()
+    odd = {ord("x"): "é", ord("é"): "yy", ord("y"): "", ord("z"): "\0", ord("q"): 'a\0"\\b', ord("😀"): ":)", ord("]"): "[[", ord("["): "&&", ord("a"): "😀", 0x10001: "k"}
+    texts = [None, "", "«", "plain-text", "xyzéq[]a-&^😀\0\U00010001" * 3, "".join(map(chr, rules)), "".join(map(chr, folded)), "e\u0301 한 ﷺ ½½ ㏒ 𝔘", "\u2003 K İ -_ !´a\u1680"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for given in (None, odd, {}, {ord("a"): ""}, {ord("a"): "bb"}):
+        normal = text.normalize_text(F.col("t"), given)
+        assert column(frame, normal) == [None if t is None else t.translate(rules if given is None else given) for t in texts]
+        assert "Python" not in frame.select(normal)._jdf.queryExecution().executedPlan().toString()
+    plain = [t and unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+    assert column(frame, text.slugify(F.col("t"))) == [t and re.sub(r"[\s_-]+", "-", re.sub(r"[^\w\s-]", "", t.lower(), flags=re.A), flags=re.A).strip("-") for t in plain]
+    assert "Python" not in frame.select(text.convert_case(F.col("t"), "slug"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_counts(spark):
     frame = spark.createDataFrame([(0, "It's a déjà-vu\ntwo  words\n")], "id long, t string")
     got = {n: column(frame, c)[0] for n, c in text.text_counts(F.col("t")).items()}
