@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import ast
 import difflib
+import functools
+import itertools
 import math
+import operator
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
@@ -28,30 +31,67 @@ def _mod(a: Column, b: Column) -> Column:
     return a - b * F.floor(a / b)
 
 
+#: n! as doubles, multiplied upwards; those up to EXACT are whole numbers that doubles hold, and so are their quotients.
+_FACTORIALS = list(itertools.accumulate(range(1, 171), operator.mul, initial=1.0))
+_EXACT = 18
+_LOG_PHI = math.log((1 + math.sqrt(5)) / 2)
+
+
 def _gcd(a: Column, b: Column) -> Column:
-    """Euclid by a bounded fold: 64-bit numbers settle within 92 steps."""
-    start = F.struct(F.abs(a.cast("long")).alias("x"), F.abs(b.cast("long")).alias("y"))
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["x"]
+    """Euclid by a fold of two divisions a step; by Lame's theorem the smaller number, at most log_phi(it) + 2 divisions, bounds the steps."""
+    x, y = F.abs(a.cast("long")), F.abs(b.cast("long"))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    rest = lambda s: s["x"] % s["y"]
+    step = lambda s, _: F.when(s["y"] == 0, s).when(rest(s) == 0, pair(s["y"], F.lit(0).cast("long"))).otherwise(pair(rest(s), s["y"] % rest(s)))
+    steps = F.coalesce((F.ln(F.least(x, y) + 1.0) / (2 * _LOG_PHI)).cast("int"), F.lit(0)) + 2
+    return F.aggregate(F.sequence(F.lit(1), steps), pair(x, y), step)["x"]
+
+
+def _lcm(a: Column, b: Column) -> Column:
+    """Divided before it is multiplied, in whole numbers: no step exceeds the result."""
+    x, y = F.abs(a.cast("long")), F.abs(b.cast("long"))
+    return F.when((x == 0) | (y == 0), F.lit(0).cast("long")).otherwise(F.call_function("div", x, F.greatest(_gcd(a, b), F.lit(1).cast("long"))) * y)
+
+
+def _factorial_of(n: Column, most: int) -> Column:
+    """n! from the table, for whole n from 0 to ``most``."""
+    return F.element_at(F.array(*map(F.lit, _FACTORIALS[: most + 1])), n.cast("int") + 1)
+
+
+def _exact(*numbers: Column) -> Column:
+    """Whether all are whole and so small that quotients of their factorials are exact."""
+    return functools.reduce(operator.and_, (n.between(0, _EXACT) & (n == F.floor(n)) for n in numbers))
 
 
 def _product(low: Column, high: Column) -> Column:
     """low * (low + 1) * ... * high, one if empty."""
-    return F.when(high < low, F.lit(1.0)).otherwise(F.aggregate(F.sequence(low.cast("long"), F.greatest(low, high).cast("long")), F.lit(1.0), lambda acc, k: acc * k))
+    folded = F.aggregate(F.sequence(low.cast("long"), F.greatest(low, high).cast("long")), F.lit(1.0), lambda acc, k: acc * k)
+    return F.when(high < low, F.lit(1.0)).when(high >= low, folded)
+
+
+def _factorial(n: Column) -> Column:
+    return F.when(n.between(0, len(_FACTORIALS) - 1), _factorial_of(n, len(_FACTORIALS) - 1)).otherwise(_product(F.lit(1), n))
 
 
 def _comb(n: Column, k: Column) -> Column:
     few = F.least(k, n - k)
     value = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(few, F.lit(1)).cast("long")), F.lit(1.0), lambda acc, i: acc * (n - few + i) / i)
-    return F.when((k < 0) | (k > n), 0.0).when(few == 0, 1.0).otherwise(F.round(value))
+    table = _factorial_of(n, _EXACT) / (_factorial_of(k, _EXACT) * _factorial_of(n - k, _EXACT))
+    return F.when((k < 0) | (k > n), 0.0).when(_exact(n, k, n - k), table).when(few == 0, 1.0).otherwise(F.round(value))
+
+
+def _perm(n: Column, k: Column | None = None) -> Column:
+    if k is None:
+        return _factorial(n)
+    return F.when(k > n, 0.0).when(_exact(n, k, n - k), _factorial_of(n, _EXACT) / _factorial_of(n - k, _EXACT)).otherwise(_product(n - k + 1, n))
 
 
 FUNCTIONS: dict[str, tuple[int, int, Callable[..., Column]]] = {
     "abs": (1, 1, F.abs), "round": (1, 2, lambda x, n=None: F.bround(x) if n is None else F.bround(x, n)), "int": (1, 1, lambda x: x.cast("long")), "float": (1, 1, lambda x: x.cast("double")),
     "min": (2, 99, F.least), "max": (2, 99, F.greatest), "sqrt": (1, 1, F.sqrt), "cbrt": (1, 1, F.cbrt), "exp": (1, 1, F.exp), "log": (1, 2, lambda x, b=None: F.ln(x) if b is None else F.ln(x) / F.ln(b)),
     "ln": (1, 1, F.ln), "log2": (1, 1, F.log2), "log10": (1, 1, F.log10), "pow": (2, 2, F.pow), "floor": (1, 1, F.floor), "ceil": (1, 1, F.ceil), "trunc": (1, 1, lambda x: x.cast("long")), "fabs": (1, 1, lambda x: F.abs(x).cast("double")),
-    "copysign": (2, 2, lambda a, b: F.abs(a).cast("double") * F.when((b < 0) | (b.cast("string") == "-0.0"), -1).otherwise(1)), "hypot": (2, 2, F.hypot), "gcd": (2, 2, _gcd), "lcm": (2, 2, lambda a, b: F.when((a == 0) | (b == 0), 0).otherwise(F.abs(a * b) / F.nullif(_gcd(a, b), F.lit(0))).cast("long")),
-    "factorial": (1, 1, lambda n: _product(F.lit(1), n)), "comb": (2, 2, _comb), "perm": (1, 2, lambda n, k=None: _product(F.lit(1), n) if k is None else F.when(k > n, 0.0).otherwise(_product(n - k + 1, n))),
+    "copysign": (2, 2, lambda a, b: F.abs(a).cast("double") * F.when((b < 0) | (b.cast("string") == "-0.0"), -1).otherwise(1)), "hypot": (2, 2, F.hypot), "gcd": (2, 2, _gcd), "lcm": (2, 2, _lcm),
+    "factorial": (1, 1, _factorial), "comb": (2, 2, _comb), "perm": (1, 2, _perm),
     "degrees": (1, 1, F.degrees), "radians": (1, 1, F.radians), "sin": (1, 1, F.sin), "cos": (1, 1, F.cos), "tan": (1, 1, F.tan), "asin": (1, 1, F.asin), "acos": (1, 1, F.acos), "atan": (1, 1, F.atan), "atan2": (2, 2, F.atan2),
     "sinh": (1, 1, F.sinh), "cosh": (1, 1, F.cosh), "tanh": (1, 1, F.tanh), "xor": (2, 2, lambda a, b: a.bitwiseXOR(b)),
 }

@@ -122,3 +122,22 @@ def test_expressions(spark):
         expression.compile_expression("sqr(4)")
     shown = [one(spark, expression.format_result(F.lit(v), b)) for v, b in ((255, "hex"), (5, "bin"), (8, "oct"), (3.0, "dec"), (1 / 3, "dec"), (0.1 + 0.2, "dec"))]
     assert shown == ["0xff", "0b101", "0o10", "3", "0.333333333333", "0.3"]
+
+
+def test_whole_number_functions_are_exact_and_short(spark):
+    fibonacci = [1, 2]
+    while fibonacci[-1] + fibonacci[-2] < 1 << 63:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    pairs = [*zip(fibonacci, fibonacci[1:], strict=False), *zip(fibonacci[1:], fibonacci, strict=False), (0, 0), (0, 7), (7, 0), (-4, 6), (2**63 - 1, 2**62), (10**9 + 7, 10**9 + 9), (6 * 10**9, 4 * 10**9)]
+    run = lambda e: expression.compile_expression(e, {c: F.col(c) for c in "ab"})
+    frame = spark.createDataFrame([*pairs, (None, 6), (6, None)], "a long, b long")
+    assert [r[0] for r in frame.select(run("gcd(a, b)")).collect()] == [*(math.gcd(*p) for p in pairs), None, None]
+    small = [p for p in pairs if math.lcm(*p) < 1 << 63]
+    assert (10**9 + 7, 10**9 + 9) in small and (6 * 10**9, 4 * 10**9) in small
+    assert [r[0] for r in spark.createDataFrame(small, "a long, b long").select(run("lcm(a, b)")).collect()] == [math.lcm(*p) for p in small]
+    few = [(a, b) for a in range(24) for b in range(25)]
+    rows = spark.createDataFrame(few, "a long, b long").select("a", "b", run("factorial(a)"), run("comb(a, b)"), run("perm(a, b)")).collect()
+    assert len(rows) == len(few) and all(list(r)[2:] == [pytest.approx(v, rel=1e-15) for v in (math.factorial(r.a), math.comb(r.a, r.b), math.perm(r.a, r.b))] for r in rows)
+    assert frame.filter("a is null").select(run("factorial(a)")).first()[0] is None
+    plan = frame.select(run("lcm(a, b)").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
